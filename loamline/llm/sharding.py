@@ -6,8 +6,8 @@ with the least. A shard that is added or taken away moves only the records
 that it wins or held. The choice needs no shuffle and no shared state.
 
 ``slots`` numbers the records of each shard from 0 without gaps: records are
-dealt over many buckets of each shard, numbered there, and shifted by the
-sizes of the buckets before.
+dealt over many ranges of each shard, numbered there, and shifted by the sizes
+of the ranges before.
 
 Defined results: a null key is a key of its own (all rows with it share a
 shard); rows that repeat a key share its shard and get slots of their own; a
@@ -41,21 +41,20 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 
 
 def slots(df: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
-    """Add ``slot``: the place of a row in its shard, gapless from 0.
+    """Add ``slot``: the place of a row in its shard by ``order``, gapless from 0.
 
-    Rows equal in ``order`` are interchangeable; the buckets grow with the
+    Rows equal in ``order`` are interchangeable. The ranges grow with the
     shuffle partitions, so that no task holds a shard.
     """
-    deal = max(16, partitions(df.sparkSession))
-    rows = cut(df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(deal)).cast("int")))
-    sizes = rows.groupBy(shard, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(shard, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    place = F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(*order))
-    numbered = rows.withColumn("__place", place)
-    return numbered.join(starts, [shard, "__bucket"]).withColumn(
+    ranges = df.repartitionByRange(4 * partitions(df.sparkSession), shard, *order)
+    rows = cut(ranges.withColumn("__range", F.spark_partition_id()))
+    sizes = rows.groupBy(shard, "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(shard).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(shard, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(shard, "__range").orderBy(*order))
+    return rows.withColumn("__place", place).join(starts, [shard, "__range"]).withColumn(
         "slot", F.col("__start") + F.col("__place") - 1
-    ).drop("__bucket", "__start", "__place")
+    ).drop("__range", "__start", "__place")
 
 
 def shard_documents(df: DataFrame, shards: int = 24) -> DataFrame:
