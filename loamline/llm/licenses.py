@@ -87,7 +87,7 @@ def scan(
         raise ValueError("a template has more tokens than a block is sure to hold")
     often = token_frequencies(df, sorted({w for s in sets.values() for w in s}))
     ordered = {t: sorted(s, key=lambda w: (often.get(w, 0), w)) for t, s in sets.items()}
-    needed = {t: -int(-threshold * len(s) // 1) for t, s in ordered.items()}
+    needed = {t: -int((1e-9 - threshold * len(s)) // 1) for t, s in ordered.items()}
     prefixes = {t: s[: len(s) - needed[t] + 1] for t, s in ordered.items()}
     rare = sorted({w for p in prefixes.values() for w in p})
     any_rare = f"(?<!{LICENSE_WORD[:-1]})(?:{'|'.join(rare)})(?!{LICENSE_WORD[:-1]})"
@@ -103,14 +103,14 @@ def scan(
     rows = rows.withColumn("blocks", F.when(F.col("probe"), held).otherwise(F.array().cast("array<array<string>>")))
 
     def best(template: str) -> Column:
-        """The largest containment of the template in a block that passes the filters; 0 for none."""
+        """The largest containment of the template in a block, where it meets the threshold; else 0."""
         tokens, o = ordered[template], needed[template]
 
         def containment(block: Column) -> Column:
             first = F.coalesce(*[F.when(F.array_contains(block, w), F.lit(i)) for i, w in enumerate(prefixes[template])])
             passes = (F.size(block) >= o) & first.isNotNull() & (len(tokens) - first >= o)
             both = F.size(F.array_intersect(block, F.array(*map(F.lit, tokens))))
-            return F.when(passes, both / F.lit(len(tokens))).otherwise(0.0)
+            return F.when(passes & (both >= o), both / F.lit(len(tokens))).otherwise(0.0)
 
         return F.coalesce(F.array_max(F.transform(F.col("blocks"), containment)), F.lit(0.0))
 
@@ -127,7 +127,7 @@ def scan(
     n_base = sum(base[1:], base[0]).cast("long")
     lowest = F.array_min(F.array_compact(F.array(*first)))
     highest = F.array_max(F.array_compact(F.array(*last)))
-    more = [F.when(F.col(f"s{k}") >= F.lit(threshold) - 1e-12, F.lit(label)) for k, label in enumerate(templates.values())]
+    more = [F.when(F.col(f"s{k}") > 0, F.lit(label)) for k, label in enumerate(templates.values())]
     join = lambda cols: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*cols)))), ",")
     score = F.greatest(F.when(n_base > 0, F.lit(1.0)).otherwise(0.0), *[F.col(s) for s in found])
     return rows.select(

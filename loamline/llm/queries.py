@@ -104,8 +104,8 @@ e AS (SELECT doc_id, unnest(sh) AS g FROM s),
 n AS (SELECT doc_id, len(sh) AS n FROM s),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
-both AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r AS (SELECT doc_id AS x, doc_id AS c FROM n UNION SELECT both.y, r.c FROM r JOIN both ON both.x = r.x AND r.c < both.y)
+m AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS c FROM n UNION SELECT m.y, r.c FROM r JOIN m ON m.x = r.x AND r.c < m.y)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n.n
 """
 
@@ -171,7 +171,7 @@ def _op6() -> str:
     base = [f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(licenses.PHRASES.values())]
     more = [f"CASE WHEN c{k} >= 0.8 - 1e-12 THEN '{label}' END" for k, label in enumerate(licenses.TEMPLATES.values())]
     places = " || ".join(f"p{k}" for k in range(len(phrase)))
-    need = [-int(-licenses.THRESHOLD * len(s) // 1) for s in sets]
+    need = [-int((1e-9 - licenses.THRESHOLD * len(s)) // 1) for s in sets]
     score = ", ".join(f"CASE WHEN c{k} * {len(s)} >= {n} - 1e-9 THEN c{k} ELSE 0.0 END" for k, (s, n) in enumerate(zip(sets, need, strict=True)))
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
