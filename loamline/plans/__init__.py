@@ -1,0 +1,16 @@
+"""All queries of the library, gathered from their packs."""
+
+from __future__ import annotations
+
+from . import html_queries, url_queries
+from .tables import Query
+
+PACKS = [url_queries.PACK, html_queries.PACK]
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for p in PACKS for k, f in p.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for p in PACKS for k, s in p.sql.items()}
