@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_queries, text_queries, url_queries
+from . import html_queries, rank_queries, text_queries, url_queries
 from .tables import Query
 
-PACKS = [url_queries.PACK, html_queries.PACK, text_queries.PACK]
+PACKS = [url_queries.PACK, html_queries.PACK, text_queries.PACK, rank_queries.PACK]
 
 
 def queries() -> dict[str, Query]:
