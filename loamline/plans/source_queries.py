@@ -189,8 +189,8 @@ def page_spans(spark, sf_dir):
 def outline_end_pages(spark, sf_dir):
     """Where each entry of an outline ends: before the next later entry of its level or above."""
     rows = docs(spark, sf_dir).select("source", "doc_id", (F.col("doc_id") % 400).alias("page"), (F.col("doc_id") % 3).alias("level"))
-    b = rows.select("source", F.col("doc_id").alias("d"), F.col("page").alias("q"), F.col("level").alias("m"))
-    met = rows.join(b, (rows["source"] == b["source"]) & (F.col("d") > F.col("doc_id")) & (F.col("m") <= F.col("level")) & (F.col("q") > F.col("page")), "left").drop(b["source"])
+    b = rows.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("page").alias("q"), F.col("level").alias("m"))
+    met = rows.join(b, (F.col("source") == F.col("s")) & (F.col("d") > F.col("doc_id")) & (F.col("m") <= F.col("level")) & (F.col("q") > F.col("page")), "left")
     return met.groupBy("source", "doc_id", "page").agg(F.min("q").alias("next")).select("source", "doc_id", "page", F.greatest("page", F.coalesce(F.col("next") - 1, F.lit(400))).alias("end_page"))
 
 
