@@ -74,7 +74,9 @@ def _level_zero(df: DataFrame, block_chars: int, fingerprint) -> DataFrame:
         blocks.select(*DOC, "n_points", F.posexplode("blocks").alias("pos", "content"))
         .join(ranks, "content", "left")
         .groupBy(*DOC, "n_points")
-        .agg(F.array_sort(F.collect_set(one)).alias("parts"))
+        .agg(F.array_sort(F.collect_set(one)).alias("parts"), F.count_if(F.col("pos") == 0).alias("copies"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))  # rows that repeat a document
+        .select(*DOC, "n_points", "parts")
     )
 
 

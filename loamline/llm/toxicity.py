@@ -115,7 +115,7 @@ def swaps(features: list[str], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                         change[at[f]] += sign
                 changes.append(change)
                 often.append(x[:, at[a]].mean())
-    return np.array(changes).reshape(-1, len(features)), np.array(often)
+    return np.array(changes).reshape(len(changes), len(features)), np.array(often)
 
 
 def fit(x: np.ndarray, y: np.ndarray, features: list[str], steps: int = 400) -> Model:
