@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 QUERIES, CANDIDATES = 1024, 4096
+#: Candidates whose exact scores give a first bound, and the share of pairs above which products are taken all at once.
+FIRST, DENSE = 1024, 0.02
 #: Segments of a vector at each level.
 LEVELS = (1, 4, 16)
 
@@ -96,6 +98,14 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     )
 
 
+def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """All inner products of integers; by floating-point products where these are exact."""
+    top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
+    if top < 2**53:
+        return q.astype(np.float64) @ c.astype(np.float64).T
+    return q.astype(np.int64 if top < 2**63 else object) @ c.astype(np.int64 if top < 2**63 else object).T
+
+
 def search(
     qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -104,34 +114,39 @@ def search(
     own = qids[:, None] == cids[None, :]
     bound = _features(x, levels[0]) @ _features(y, levels[0]).T
     bound[own] = -np.inf
-    # a first k-th best score: exact scores of the candidates with the best coarse bounds
-    some = min(4 * k, len(cids))
-    first = np.argpartition(-bound, some - 1, axis=1)[:, :some]
-    rows = np.repeat(np.arange(len(qids)), some)
-    scores = _exact(q[rows], c[first.ravel()]).reshape(len(qids), some).astype(np.float64)
-    scores[own[rows, first.ravel()].reshape(scores.shape)] = -np.inf
-    least = np.sort(scores, axis=1)[:, -k] if some >= k else np.full(len(qids), -np.inf)
+    # a first k-th best score: exact scores of some candidates
+    some = min(len(cids), max(FIRST, 4 * k))
+    first = np.where(own[:, :some], -np.inf, _scores(q, c[:some]).astype(np.float64))
+    least = np.partition(first, some - k, axis=1)[:, some - k] if some >= k else np.full(len(qids), -np.inf)
     # rounding of the bounds never loses a candidate
     slack = 1e-9 * (1 + np.sqrt(np.square(x).sum(axis=1).max(initial=0) * np.square(y).sum(axis=1).max(initial=0)))
     alive = (bound >= least[:, None] - slack) & ~own
     left = [int(alive.sum())]
     for parts in levels[1:]:
         fx, fy = _features(x, parts), _features(y, parts)
-        if alive.mean() > 0.1:
+        if left[-1] > DENSE * alive.size:
             alive &= fx @ fy.T >= least[:, None] - slack
         else:
             i, j = np.nonzero(alive)
             out = np.einsum("ij,ij->i", fx[i], fy[j]) < least[i] - slack
             alive[i[out], j[out]] = False
         left.append(int(alive.sum()))
+    if left[-1] > DENSE * alive.size:  # many survivors: all products at once are cheaper than theirs one by one
+        every = _scores(q, c)
+        i, j = np.nonzero(alive & (every >= np.where(np.isfinite(least), least, -(2.0**62))[:, None]))
+        return _best(qids, cids, i, j, every[i, j], k, left)
     i, j = np.nonzero(alive)
     scores = np.concatenate([_exact(q[i[a : a + 500_000]], c[j[a : a + 500_000]]) for a in range(0, max(1, len(i)), 500_000)])
     keep = scores >= np.where(np.isfinite(least[i]), least[i], -np.inf)
     i, j, scores = i[keep], j[keep], scores[keep]
+    return _best(qids, cids, i, j, scores, k, left)
+
+
+def _best(qids, cids, i, j, scores, k: int, left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The k best of the pairs of each query, ties to the smaller candidate id."""
     order = np.lexsort((cids[j], -scores.astype(np.float64) if scores.dtype == object else -scores, i))
     i, j, scores = i[order], j[order], scores[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    best = place < k
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
     return i[best], j[best], scores[best], left
 
 
