@@ -2,12 +2,14 @@
 
 The Jaccard distance is a metric, so pivots may divide the documents into
 regions. With shingles nearly all distances to any given pivot are 1, which
-tells nothing; a pivot serves only near itself. So pivots are found by
-signatures: the shingles of a set fall into classes by their hash, more of
-them than two linked sets can differ in, so that linked sets have a class with
-the same content. The least set with a signature is the pivot of all others
-with it, and a document enters the region of every pivot it meets; two linked
-documents meet a pivot together.
+tells nothing; a pivot serves only near itself. So pivots are found by prefixes:
+in one order of all shingles, the rarest first, linked sets share one of the
+least of each, as many as a linked set can lack and one more. The least set
+with a shingle in its prefix is the pivot of all others with it there, and a
+document enters the region of every pivot it meets; two linked documents meet
+a pivot together. The order comes from counts of all documents' shingles in a
+fixed number of classes; classes that hold several shingles make it coarser,
+never wrong.
 
 In a region every document is measured against the pivot and becomes its
 difference from the pivot. Documents within the distance are linked to it.
@@ -29,11 +31,13 @@ of their own, by their own texts; other columns are ignored. Sets are named by
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors
@@ -42,66 +46,25 @@ from .components import components
 
 #: Documents in a chunk of a ring; a unit has two chunks.
 CHUNK = 240
+#: Classes of shingles that are counted, a power of two, and the parts that their counts are added in.
+CLASSES, PARTS = 1 << 21, 64
+_SUMMARY = ["doc_id", "name", "n", "part", "counts"]
 
 
-def size_bounds(top: int, percent: int) -> np.ndarray:
-    """Upper bounds of the size classes: linked sets are in one class or in adjacent ones."""
-    bounds = [0]
-    while len(bounds) < 3 or bounds[-2] < top:
-        low = bounds[-1] + 1
-        bounds.append(max(low, low * 100 // percent))
-    return np.array(bounds)
+def prefixes(sets: np.ndarray, firsts: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, row of each): the least of every set in one order of all shingles, more than a linked set can lack.
 
-
-def differing(n: np.ndarray, percent: int) -> np.ndarray:
-    """Most shingles in which two linked sets of at most ``n`` differ.
-
-    |x ^ y| <= (1 - t) |x | y|, and (1 + t) |x | y| <= |x| + |y|.
-    """
-    return (100 - percent) * 2 * n // (100 + percent)
-
-
-def signature_counts(bounds: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures per size class: one more than linked sets can differ in, and what empty classes of shingles may cost."""
-    d = differing(bounds, percent)
-    least = bounds * (percent / 100) ** 2
-    m = d + 1.0
-    for _ in range(4):
-        empty = m * np.exp(-least / m)
-        m = d + 1 + np.where(d > 0, np.ceil(empty + 4 * np.sqrt(empty)) + 1, 0)
-    return m.astype(np.int64)
-
-
-def signatures(sets: np.ndarray, firsts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, row of each): for a set's own size class and the next one.
-
-    A signature is the content of one class of shingles. Of a set with more
-    filled classes than linked sets can differ in, only these count: one of
-    them is untouched in any linked set. Other sets give the empty ones too.
+    Two linked sets share ``percent`` % of either, so they share the least of
+    the shingles that they share among these. The order is by count (rare ones
+    first) and then by hash; any order is right, this one keeps passages that
+    many documents share out of the prefixes.
     """
     n = np.diff(firsts)
-    bounds = size_bounds(int(n.max(initial=1)), percent)
-    many, allowed = signature_counts(bounds, percent), differing(bounds, percent)
-    level0, row = np.searchsorted(bounds, n), np.repeat(np.arange(len(n)), n)
-    spread = vectors.mix(sets + np.uint64(0x9E3779B97F4A7C15))
-    keys, owners = [], []
-    for up in (0, 1):
-        level = level0 + up
-        m = np.where(n > 0, many[level], 0)
-        begin = np.cumsum(m) - m
-        place = begin[row] + (sets % m[row].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(m.sum()), np.uint64)
-        np.add.at(total, place, spread)
-        filled = np.zeros(len(total), bool)
-        filled[place] = True
-        owner = np.repeat(np.arange(len(n)), m)
-        enough = np.bincount(owner[filled], minlength=len(n)) > allowed[level]
-        keep = filled | ~enough[owner]
-        which = (np.arange(len(total)) - begin[owner]).astype(np.uint64)
-        tag = (level[owner].astype(np.uint64) << np.uint64(40)) + which
-        keys.append(vectors.mix(total ^ vectors.mix(tag))[keep])
-        owners.append(owner[keep])
-    return np.concatenate(keys), np.concatenate(owners)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((sets, counts[(sets % np.uint64(len(counts))).astype(np.int64)], row))
+    most = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+    keep = np.arange(len(row)) - firsts[:-1][row] < most[row]
+    return sets[order[keep]], row[keep]
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,21 +77,48 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _summaries(words: int) -> Callable:
+    """Name and size of each row's set, and at a task's end how many sets have a shingle of each class, in parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.uint32)
         for b in batches:
-            for at, to, _, firsts, names in _sets(b["text"], words):
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(at, to - at), pa.array(names), pa.array(np.diff(firsts))], ["doc_id", "name", "n"]
-                )
+            for at, to, sets, firsts, names in _sets(b["text"], words):
+                counts += np.bincount((sets % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype(np.uint32)
+                ids = b["doc_id"].slice(at, to - at)
+                nothing = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names), pa.array(np.diff(firsts)), *nothing], _SUMMARY)
+        parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, PARTS)]
+        nothing = [pa.nulls(PARTS, pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], _SUMMARY)
 
     return run
 
 
-def _signed(words: int, percent: int) -> Callable:
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the counts of each part."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b["part"].to_pylist(), b["counts"], strict=True):
+            one = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+            total[part] = total[part] + one if part in total else one
+    packed = [zlib.compress(c.tobytes(), 1) for c in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+
+
+def class_counts(summary: DataFrame) -> np.ndarray:
+    """Sets with a shingle of each of CLASSES classes, over all documents; its size does not depend on theirs."""
+    parts = summary.where("part is not null").select("part", "counts").repartition("part")
+    counts = np.zeros((PARTS, CLASSES // PARTS), np.uint32)
+    for r in parts.mapInArrow(_added, "part int, counts binary").collect():  # PARTS rows
+        counts[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    return counts.ravel()
+
+
+def _prefixed(words: int, percent: int, counts: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, sets, firsts, names in _sets(b["text"], words):
-                keys, owners = signatures(sets, firsts, percent)
+                keys, owners = prefixes(sets, firsts, counts.value, percent)
                 _, first = np.unique(names, return_index=True)  # a copy adds nothing
                 keep = np.isin(owners, first)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(names[owners[keep]])], ["key", "name"])
@@ -225,13 +215,12 @@ def _joined(percent: int) -> Callable:
     return run
 
 
-def regions(df: DataFrame, words: int, percent: int) -> DataFrame:
+def regions(df: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """(pivot, name): the documents' sets in the region of each pivot, without the pivot's own."""
-    signed = df.select("text").mapInArrow(_signed(words, percent), "key long, name long")
-    from pyspark.sql import Window
-
+    known = df.sparkSession.sparkContext.broadcast(counts)
+    keyed = df.select("text").mapInArrow(_prefixed(words, percent, known), "key long, name long")
     group = Window.partitionBy("key")
-    return signed.withColumn("pivot", F.min("name").over(group)).where("name <> pivot").select("pivot", "name").distinct()
+    return keyed.withColumn("pivot", F.min("name").over(group)).where("name <> pivot").select("pivot", "name").distinct()
 
 
 def _ring_units(rest: DataFrame, percent: int) -> DataFrame:
@@ -262,9 +251,9 @@ def _ring_units(rest: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def links(df: DataFrame, summary: DataFrame, words: int, percent: int) -> DataFrame:
+def links(df: DataFrame, summary: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """(a, b): links that connect the set names of ``summary`` (doc_id, name, n) as all links do."""
-    met = cut(regions(df, words, percent))
+    met = cut(regions(df, counts, words, percent))
     names = met.select("name").unionByName(met.select(F.col("pivot").alias("name"))).distinct()
     text_of = cut(
         summary.groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(names, "name").select("doc_id", "name")
@@ -305,9 +294,10 @@ def links(df: DataFrame, summary: DataFrame, words: int, percent: int) -> DataFr
 def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of sets with a Jaccard similarity of ``percent`` % or more."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = cut(docs.mapInArrow(_summaries(words), "doc_id long, name long, n long"))
+    found = cut(docs.mapInArrow(_summaries(words), "doc_id long, name long, n long, part int, counts binary"))
+    counts, summary = class_counts(found), found.where("part is null").select("doc_id", "name", "n")
     whole = summary.where("doc_id is not null and n > 0")
-    found = components(links(docs.where("doc_id is not null"), whole, words, percent))
+    found = components(links(docs.where("doc_id is not null"), whole, counts, words, percent))
     found = found.select((-F.col("node")).alias("key"), "label")
     grouped = cut(
         whole.withColumn("key", -F.col("name")).join(found, "key", "left")

@@ -117,20 +117,23 @@ def test_a_large_group_of_variants_is_joined_exactly(make_docs, percent, monkeyp
     assert sorted((tuple(r) for r in got), key=repr) == near_brute(rows, 1, percent)
 
 
-def test_linked_sets_share_a_signature():
-    from loamline.llm import vectors
-
+def test_linked_sets_share_a_prefix_shingle():
     rng = np.random.default_rng(5)
+    counts = rng.integers(0, 5, 1 << 10).astype(np.uint32)
     for n in (1, 4, 9, 30, 200, 1500):
         for percent in (80, 90):
             x = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
-            gone = int(n * (1 - percent / 100))
-            y = x[gone:]
+            y = np.sort(rng.permutation(x)[int(n * (1 - percent / 100)) :])
             firsts = np.array([0, len(x), len(x) + len(y)])
-            keys, row = ngram_join.signatures(np.concatenate([x, y]), firsts, percent)
+            keys, row = ngram_join.prefixes(np.concatenate([x, y]), firsts, counts, percent)
             if len(y) and 100 * len(y) >= percent * len(x):
                 assert set(keys[row == 0]) & set(keys[row == 1])
-    assert vectors.mix(np.array([1, 2], dtype=np.uint64))[0] != 1
+
+
+def test_class_counts_cover_all_documents(spark):
+    summary = documents(spark).select("doc_id", "text").repartition(5).mapInArrow(ngram_join._summaries(3), "doc_id long, name long, n long, part int, counts binary")
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark).select("doc_id", "text").collect()]
+    assert ngram_join.class_counts(summary.cache()).sum() == sum(map(len, shingle_sets(rows, 3)))
 
 
 def test_components_of_a_long_chain(spark):
