@@ -11,13 +11,13 @@ a pivot together. The order comes from counts of all documents' shingles in a
 fixed number of classes; classes that hold several shingles make it coarser,
 never wrong.
 
-In a region every document is measured against the pivot and becomes its
-difference from the pivot. Documents within the distance are linked to it.
+In a region every document is measured against the pivot. Documents within the
+distance are linked to it.
 What is left (regions whose documents are not all connected yet) is joined
 again around the pivot: by the triangle inequality linked documents lie in the
 same ring around it or in adjacent ones, so each enters its own ring and, as a
 boundary document, the next one out; the rings are dealt into units of bounded
-size, and the units compare the differences exactly. Links come out as a
+size, and the units compare the sets exactly. Links come out as a
 spanning forest, never as all pairs of a group. Equal sets are one class and
 are not compared with each other.
 
@@ -139,49 +139,46 @@ def _packed(words: int) -> Callable:
 
 
 def _measured(percent: int) -> Callable:
-    """Each document of a region against its pivot: linked or not, and its difference from it."""
+    """Each document of a region against its pivot: linked or not, and how many shingles only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked, apart, n = [], [], []
             for x, p in zip(b["shingles"], b["center"], strict=True):
                 x, p = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, p))
-                e = np.setxor1d(x, p, assume_unique=True)
-                both = (len(x) + len(p) - len(e)) // 2
-                linked.append(100 * both >= percent * (both + len(e)))
-                apart.append(e.tobytes())
+                both = len(np.intersect1d(x, p, assume_unique=True))
+                linked.append(100 * both >= percent * (len(x) + len(p) - both))
+                apart.append(len(x) + len(p) - 2 * both)
                 n.append(len(x))
             yield pa.RecordBatch.from_arrays(
-                [b["pivot"], b["name"], pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.binary())],
+                [b["pivot"], b["name"], pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.int64())],
                 ["pivot", "name", "n", "linked", "apart"],
             )
 
     return run
 
 
-def unit_links(
-    n: np.ndarray, apart: list[np.ndarray], label: np.ndarray, home: np.ndarray, percent: int
-) -> list[tuple[int, int]]:
-    """Pairs of rows whose sets are linked, from their differences from one center; one pair per two labels.
+def unit_links(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows whose sets are linked; one pair per two labels.
 
     Only pairs of different labels count, and of them those with a row at home.
     """
-    size = np.array([len(e) for e in apart])
-    row = np.repeat(np.arange(len(apart)), size)
-    values, code, count = np.unique(np.concatenate(apart) if len(apart) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    values, code, count = np.unique(np.concatenate(sets) if len(sets) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
     common = count[code] > 1
     row, code = row[common], np.unique(code[common], return_inverse=True)[1]
-    same = np.zeros((len(apart), len(apart)), dtype=np.float32)
+    same = np.zeros((len(sets), len(sets)), dtype=np.float32)
     order = np.argsort(code, kind="stable")
     row, code = row[order], code[order]
     for low in range(0, int(code.max(initial=-1)) + 1, 2048):
         a, b = np.searchsorted(code, [low, low + 2048])
-        m = np.zeros((len(apart), 2048), dtype=np.float32)
+        m = np.zeros((len(sets), 2048), dtype=np.float32)
         m[row[a:b], code[a:b] - low] = 1
         same += m @ m.T
-    differ = size[:, None] + size[None, :] - 2 * same.astype(np.int64)
-    both = (n[:, None] + n[None, :] - differ) // 2
-    hit = (100 * both >= percent * (both + differ)) & (label[:, None] < label[None, :]) & (home[:, None] | home[None, :])
+    both = same.astype(np.int64)
+    either = size[:, None] + size[None, :] - both
+    hit = (100 * both >= percent * either) & (label[:, None] < label[None, :]) & (home[:, None] | home[None, :])
     i, j = np.nonzero(hit)
     _, first = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
     return list(zip(i[first], j[first], strict=True))
@@ -191,9 +188,9 @@ def _joined(percent: int) -> Callable:
     """Rows sorted by unit; a unit's rows may span batches."""
 
     def links(t: pa.Table) -> pa.RecordBatch:
-        apart = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t["apart"]]
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t["shingles"]]
         name = t["name"].to_numpy()
-        found = unit_links(t["n"].to_numpy(), apart, t["label"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), percent)
+        found = unit_links(sets, t["label"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), percent)
         a, b = (pa.array([int(name[p[k]]) for p in found], pa.int64()) for k in (0, 1))
         return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
@@ -224,14 +221,13 @@ def regions(df: DataFrame, counts: np.ndarray, words: int, percent: int) -> Data
 
 
 def _ring_units(rest: DataFrame, percent: int) -> DataFrame:
-    """Deal the rings of each region into units: rows (unit, name, n, label, home, apart)."""
-    size = F.floor(F.octet_length("apart") / 8)
+    """Deal the rings of each region into units: rows (unit, name, label, home)."""
     widths = cut(rest.groupBy("pivot").agg(F.max("n").alias("most")).select((-F.col("pivot")).alias("key"), "most"))
     width = F.floor(F.lit(100 - percent) * 2 * F.col("most") / (100 + percent)) + 1
-    ring = F.floor(size / width)
+    ring = F.floor(F.col("apart") / width)
     rows = join_small(rest.withColumn("key", -F.col("pivot")), widths, ["key"])
     rows = rows.withColumn("ring", F.explode(F.array(ring, ring + 1))).withColumn("home", ring == F.col("ring"))
-    rows = rows.drop("most", "linked", "key")
+    rows = rows.drop("most", "linked", "key", "n", "apart")
     # the documents linked to the pivot are connected already: they only meet the others
     cells = rows.groupBy("pivot", "ring").agg(
         F.ceil(F.count_if(~F.col("inner")) / CHUNK).cast("int").alias("outs"),
@@ -247,7 +243,7 @@ def _ring_units(rest: DataFrame, percent: int) -> DataFrame:
     )
     return rows.withColumn("with", F.explode(partners)).select(
         F.xxhash64("pivot", "ring", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("unit"),
-        "name", "n", "label", "home", "apart",
+        "name", "label", "home",
     )
 
 
@@ -266,7 +262,7 @@ def links(df: DataFrame, summary: DataFrame, counts: np.ndarray, words: int, per
     measured = cut(
         met.join(packed, "name").join(center, "pivot")
         .select("pivot", "name", "shingles", "center")
-        .mapInArrow(_measured(percent), "pivot long, name long, n long, linked boolean, apart binary")
+        .mapInArrow(_measured(percent), "pivot long, name long, n long, linked boolean, apart long")
     )
     first = cut(measured.where("linked").select(F.col("name").alias("a"), F.col("pivot").alias("b")).distinct())
     labels = cut(components(first).select((-F.col("node")).alias("key"), "label"))
@@ -276,7 +272,6 @@ def links(df: DataFrame, summary: DataFrame, counts: np.ndarray, words: int, per
     centers = met.select("pivot").distinct().withColumn("key", -F.col("pivot")).join(labels, "key", "left").select(
         "pivot", F.coalesce("label", "pivot").alias("of_pivot")
     )
-    rest = cut(rest)
     # regions whose documents are all connected are done
     open_ = rest.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(centers, "pivot")
     open_ = cut(open_.where("low <> high").select((-F.col("pivot")).alias("key"), "of_pivot"))
@@ -284,7 +279,7 @@ def links(df: DataFrame, summary: DataFrame, counts: np.ndarray, words: int, per
         join_small(rest.withColumn("key", -F.col("pivot")), open_, ["key"]).withColumn("inner", F.col("label") == F.col("of_pivot"))
         .drop("key", "of_pivot")
     )
-    units = _ring_units(rest, percent)
+    units = _ring_units(rest, percent).join(packed, "name")
     second = (
         units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined(percent), "a long, b long").distinct()
     )
