@@ -11,13 +11,15 @@ a pivot together. The order comes from counts of all documents' shingles in a
 fixed number of classes; classes that hold several shingles make it coarser,
 never wrong.
 
-In a region every document is measured against the pivot. Documents within the
-distance are linked to it.
-What is left (regions whose documents are not all connected yet) is joined
+In a region every document is measured against the pivot, by sketches first
+(parities of classes of shingles, which bound the difference of two sets from
+below) and exactly where they allow a link. What is left (regions whose documents are not all connected yet) is joined
 again around the pivot: by the triangle inequality linked documents lie in the
 same ring around it or in adjacent ones, so each enters its own ring and, as a
 boundary document, the next one out; the rings are dealt into units of bounded
-size, and the units compare the sets exactly. Links come out as a
+size, and the units compare sketches and then sets exactly. Distances from the
+pivot are those of sketches of one width in a region, a metric as well, which
+never exceed the differences of the sets. Links come out as a
 spanning forest, never as all pairs of a group. Equal sets are one class and
 are not compared with each other.
 
@@ -48,7 +50,8 @@ from .components import components
 CHUNK = 240
 #: Classes of shingles that are counted, a power of two, and the parts that their counts are added in.
 CLASSES, PARTS = 1 << 21, 64
-_SUMMARY = ["doc_id", "name", "n", "part", "counts"]
+SUMMARY = pa.schema({"doc_id": pa.int64(), "name": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "part": pa.int32(), "counts": pa.binary()})
+SUMMARY_DDL = "doc_id long, name long, n long, sketch binary, part int, counts binary"
 
 
 def prefixes(sets: np.ndarray, firsts: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +70,29 @@ def prefixes(sets: np.ndarray, firsts: np.ndarray, counts: np.ndarray, percent:
     return sets[order[keep]], row[keep]
 
 
+def sketches(sets: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """Parities of the classes of every row's shingles, as bits: a power of two of them, two for each shingle or more.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    n = np.diff(firsts)
+    width = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64) - 6)  # in 64-bit words
+    begin = np.cumsum(width) - width
+    row = np.repeat(np.arange(len(n)), n)
+    word = begin[row] + ((sets >> np.uint64(6)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.zeros(int(width.sum()), np.uint64)
+    np.bitwise_xor.at(bits, word, np.uint64(1) << (sets & np.uint64(63)))
+    return [bits[b : b + w].tobytes() for b, w in zip(begin, width, strict=True)]
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one per row) as sketches of fewer words."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of a text column: first and last row, shingles, first shingle of each row, set names."""
     for at, to in vectors.slices(column):
@@ -85,11 +111,12 @@ def _summaries(words: int) -> Callable:
             for at, to, sets, firsts, names in _sets(b["text"], words):
                 counts += np.bincount((sets % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype(np.uint32)
                 ids = b["doc_id"].slice(at, to - at)
+                sketch = pa.array(sketches(sets, firsts), pa.binary())
                 nothing = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names), pa.array(np.diff(firsts)), *nothing], _SUMMARY)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names), pa.array(np.diff(firsts)), sketch, *nothing], SUMMARY.names)
         parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, PARTS)]
-        nothing = [pa.nulls(PARTS, pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], _SUMMARY)
+        nothing = [*[pa.nulls(PARTS, pa.int64())] * 3, pa.nulls(PARTS, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], SUMMARY.names)
 
     return run
 
@@ -138,26 +165,58 @@ def _packed(words: int) -> Callable:
     return run
 
 
+def _bounded(percent: int) -> Callable:
+    """Sketches of a region's documents against the pivot's: can they be linked, and their distance in ``width`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b["n"].to_numpy(), b["center_n"].to_numpy()
+            fine, apart = [], []
+            for x, p, w in zip(b["sketch"], b["center"], b["width"].to_numpy(), strict=True):
+                x, p = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, p))
+                both = min(len(x), len(p))
+                d = folded(x, both) ^ folded(p, both)
+                fine.append(int(np.bitwise_count(d).sum()))
+                apart.append(int(np.bitwise_count(folded(d, w)).sum()))
+            possible = np.array(fine, np.int64) * (100 + percent) <= (100 - percent) * (n + m)
+            yield pa.RecordBatch.from_arrays(
+                [b["pivot"], b["name"], b["n"], pa.array(possible), pa.array(apart, pa.int64())], ["pivot", "name", "n", "possible", "apart"]
+            )
+
+    return run
+
+
 def _measured(percent: int) -> Callable:
-    """Each document of a region against its pivot: linked or not, and how many shingles only one of them has."""
+    """The pairs of a document and a pivot that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked, apart, n = [], [], []
+            linked = []
             for x, p in zip(b["shingles"], b["center"], strict=True):
                 x, p = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, p))
                 both = len(np.intersect1d(x, p, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(p) - both))
-                apart.append(len(x) + len(p) - 2 * both)
-                n.append(len(x))
-            yield pa.RecordBatch.from_arrays(
-                [b["pivot"], b["name"], pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.int64())],
-                ["pivot", "name", "n", "linked", "apart"],
-            )
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["name"].filter(keep), b["pivot"].filter(keep)], ["a", "b"])
 
     return run
 
 
+def unit_possible(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, home: np.ndarray, percent: int) -> np.ndarray:
+    """Rows whose sketch allows a link to a row of another label, one of the two at home."""
+    width, out = np.array([len(x) for x in bits]), np.zeros(len(bits), bool)
+    for w in np.unique(width):
+        at = np.flatnonzero(width >= w)
+        table = np.stack([folded(bits[i], w) for i in at])
+        for k in np.flatnonzero(width[at] == w):
+            i = at[k]
+            apart = np.bitwise_count(table ^ table[k]).sum(axis=1, dtype=np.int64)
+            hit = (apart * (100 + percent) <= (100 - percent) * (n[at] + n[i])) & (label[at] != label[i]) & (home[at] | home[i])
+            out[at[hit]] = True
+            out[i] |= hit.any()
+    return out
+
+
 def unit_links(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs of rows whose sets are linked; one pair per two labels.
 
@@ -184,15 +243,8 @@ def unit_links(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, perc
     return list(zip(i[first], j[first], strict=True))
 
 
-def _joined(percent: int) -> Callable:
-    """Rows sorted by unit; a unit's rows may span batches."""
-
-    def links(t: pa.Table) -> pa.RecordBatch:
-        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t["shingles"]]
-        name = t["name"].to_numpy()
-        found = unit_links(sets, t["label"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), percent)
-        a, b = (pa.array([int(name[p[k]]) for p in found], pa.int64()) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+def _by_unit(of_unit: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """Apply a function to each unit; rows come sorted by unit, and a unit's rows may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -203,15 +255,37 @@ def _joined(percent: int) -> Callable:
                 if a == b:
                     continue
                 if held and held[-1]["unit"][0].as_py() != unit[a]:
-                    yield links(pa.Table.from_batches(held))
+                    yield of_unit(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(a, b - a))
         if held:
-            yield links(pa.Table.from_batches(held))
+            yield of_unit(pa.Table.from_batches(held))
 
     return run
 
 
+def _possible(percent: int) -> Callable:
+    def rows(t: pa.Table) -> pa.RecordBatch:
+        bits = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t["sketch"]]
+        home = t["home"].to_numpy(zero_copy_only=False)
+        keep = unit_possible(t["n"].to_numpy(), bits, t["label"].to_numpy(), home, percent)
+        left = t.select(["unit", "name", "label", "home"]).filter(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in left.columns], left.column_names)
+
+    return _by_unit(rows)
+
+
+def _joined(percent: int) -> Callable:
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t["shingles"]]
+        name = t["name"].to_numpy()
+        found = unit_links(sets, t["label"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), percent)
+        a, b = (pa.array([int(name[p[k]]) for p in found], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    return _by_unit(pairs)
+
+
 def regions(df: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """(pivot, name): the documents' sets in the region of each pivot, without the pivot's own."""
     known = df.sparkSession.sparkContext.broadcast(counts)
@@ -227,7 +301,7 @@ def _ring_units(rest: DataFrame, percent: int) -> DataFrame:
     ring = F.floor(F.col("apart") / width)
     rows = join_small(rest.withColumn("key", -F.col("pivot")), widths, ["key"])
     rows = rows.withColumn("ring", F.explode(F.array(ring, ring + 1))).withColumn("home", ring == F.col("ring"))
-    rows = rows.drop("most", "linked", "key", "n", "apart")
+    rows = rows.drop("most", "key", "n", "apart")
     # the documents linked to the pivot are connected already: they only meet the others
     cells = rows.groupBy("pivot", "ring").agg(
         F.ceil(F.count_if(~F.col("inner")) / CHUNK).cast("int").alias("outs"),
@@ -247,26 +321,38 @@ def _ring_units(rest: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _packed_sets(df: DataFrame, known: DataFrame, names: DataFrame, words: int) -> DataFrame:
+    """(name, shingles) of the sets ``names``; ``known`` (name, doc_id) says where they are."""
+    place = cut(known.join(names.distinct(), "name").select("doc_id", "name"))
+    texts = join_small(df.select("doc_id", "text"), place, ["doc_id"]).select("text", "name")
+    return cut(texts.mapInArrow(_packed(words), "name long, shingles binary").dropDuplicates(["name"]))
+
+
 def links(df: DataFrame, summary: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(a, b): links that connect the set names of ``summary`` (doc_id, name, n) as all links do."""
+    """(a, b): links that connect the set names of ``summary`` (doc_id, name, n, sketch) as all links do.
+
+    Sets travel only where sketches allow a link.
+    """
     met = cut(regions(df, counts, words, percent))
     names = met.select("name").unionByName(met.select(F.col("pivot").alias("name"))).distinct()
-    text_of = cut(
-        summary.groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(names, "name").select("doc_id", "name")
-    )
-    packed = cut(
-        join_small(df.select("doc_id", "text"), text_of, ["doc_id"]).select("text", "name")
-        .mapInArrow(_packed(words), "name long, shingles binary").dropDuplicates(["name"])
+    known = cut(
+        summary.join(names, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    center = packed.select(F.col("name").alias("pivot"), F.col("shingles").alias("center"))
-    measured = cut(
-        met.join(packed, "name").join(center, "pivot")
-        .select("pivot", "name", "shingles", "center")
-        .mapInArrow(_measured(percent), "pivot long, name long, n long, linked boolean, apart long")
-    )
-    first = cut(measured.where("linked").select(F.col("name").alias("a"), F.col("pivot").alias("b")).distinct())
+    bits = known.select("name", "n", "sketch")
+    center = known.select(F.col("name").alias("pivot"), F.col("n").alias("center_n"), F.col("sketch").alias("center"))
+    pairs = cut(met.join(bits, "name").join(center, "pivot"))
+    word_count = F.least(F.octet_length("sketch"), F.octet_length("center")) / 8
+    width = cut(pairs.groupBy("pivot").agg(F.min(word_count).cast("long").alias("width")).select((-F.col("pivot")).alias("key"), "width"))
+    pairs = join_small(pairs.withColumn("key", -F.col("pivot")), width, ["key"]).drop("key")
+    bounded = cut(pairs.mapInArrow(_bounded(percent), "pivot long, name long, n long, possible boolean, apart long"))
+
+    close = bounded.where("possible").select("pivot", "name")
+    packed = _packed_sets(df, known, close.select("name").unionByName(close.select(F.col("pivot").alias("name"))), words)
+    pivots = packed.select(F.col("name").alias("pivot"), F.col("shingles").alias("center"))
+    first = cut(close.join(packed, "name").join(pivots, "pivot").mapInArrow(_measured(percent), "a long, b long").distinct())
+
     labels = cut(components(first).select((-F.col("node")).alias("key"), "label"))
-    rest = join_small(measured.withColumn("key", -F.col("name")), labels, ["key"], "left").withColumn(
+    rest = join_small(bounded.drop("possible").withColumn("key", -F.col("name")), labels, ["key"], "left").withColumn(
         "label", F.coalesce("label", "name")
     ).drop("key")
     centers = met.select("pivot").distinct().withColumn("key", -F.col("pivot")).join(labels, "key", "left").select(
@@ -279,18 +365,18 @@ def links(df: DataFrame, summary: DataFrame, counts: np.ndarray, words: int, per
         join_small(rest.withColumn("key", -F.col("pivot")), open_, ["key"]).withColumn("inner", F.col("label") == F.col("of_pivot"))
         .drop("key", "of_pivot")
     )
-    units = _ring_units(rest, percent).join(packed, "name")
-    second = (
-        units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined(percent), "a long, b long").distinct()
-    )
-    return first.unionByName(second)
+    units = _ring_units(rest, percent).join(bits, "name").repartition("unit").sortWithinPartitions("unit")
+    units = cut(units.mapInArrow(_possible(percent), "unit long, name long, label long, home boolean"))
+    packed = _packed_sets(df, known, units.select("name"), words)
+    units = units.join(packed, "name").repartition("unit").sortWithinPartitions("unit")
+    return first.unionByName(units.mapInArrow(_joined(percent), "a long, b long").distinct())
 
 
 def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of sets with a Jaccard similarity of ``percent`` % or more."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(docs.mapInArrow(_summaries(words), "doc_id long, name long, n long, part int, counts binary"))
-    counts, summary = class_counts(found), found.where("part is null").select("doc_id", "name", "n")
+    found = cut(docs.mapInArrow(_summaries(words), SUMMARY_DDL))
+    counts, summary = class_counts(found), found.where("part is null").select("doc_id", "name", "n", "sketch")
     whole = summary.where("doc_id is not null and n > 0")
     found = components(links(docs.where("doc_id is not null"), whole, counts, words, percent))
     found = found.select((-F.col("node")).alias("key"), "label")

@@ -130,8 +130,20 @@ def test_linked_sets_share_a_prefix_shingle():
                 assert set(keys[row == 0]) & set(keys[row == 1])
 
 
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.integers(0, 2**63, 700, dtype=np.uint64))
+    y = np.sort(np.concatenate([x[90:], rng.integers(0, 2**63, 40, dtype=np.uint64)]))
+    bits = ngram_join.sketches(np.concatenate([x, y, x[:3]]), np.array([0, 700, 1350, 1350, 1353]))
+    a, b, none, small = (np.frombuffer(v, np.uint64) for v in bits)
+    assert len(none) == len(small) == 1 and not none.any() and np.bitwise_count(small).sum() == 3
+    for width in (len(a), len(a) // 2, 1):
+        assert np.bitwise_count(ngram_join.folded(a, width) ^ ngram_join.folded(b, width)).sum() <= 130
+    assert np.bitwise_count(a ^ b).sum() > 100
+
+
 def test_class_counts_cover_all_documents(spark):
-    summary = documents(spark).select("doc_id", "text").repartition(5).mapInArrow(ngram_join._summaries(3), "doc_id long, name long, n long, part int, counts binary")
+    summary = documents(spark).select("doc_id", "text").repartition(5).mapInArrow(ngram_join._summaries(3), ngram_join.SUMMARY_DDL)
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).select("doc_id", "text").collect()]
     assert ngram_join.class_counts(summary.cache()).sum() == sum(map(len, shingle_sets(rows, 3)))
 
