@@ -22,7 +22,7 @@ seed and the rows alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_small, source_name, word_count
@@ -103,19 +103,21 @@ def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, sea
     )
 
 
-def mix(
+def _taken(
     df: DataFrame,
     weights: list[float] = WEIGHTS,
     share: float = 1.5,
     most: int = 2,
     block_words: int = BLOCK_WORDS,
     seed: int = 17,
+    **more: Column,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
+    """The columns of ``mix`` and skey, shard and ``more`` columns, which settle ties in the order of documents."""
     rows = cut(
         df.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
             source_name(F.col("source").cast("string")).alias("skey"), word_count(F.col("text")).alias("size"),
+            *[c.alias(k) for k, c in more.items()],
         )
     )
     sources = targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -142,7 +144,7 @@ def mix(
             "skey", "shard", "blocks", F.col("won").alias("quota")
         )
     )
-    cell = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
+    cell = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size", *more)
     laid = dealt.withColumn("end", F.sum("size").over(cell.rowsBetween(Window.unboundedPreceding, 0)))
     out = laid.join(shares, ["skey", "shard"], "left")
     # a seeded permutation of the shard's blocks (a prime step cannot divide their number):
@@ -161,25 +163,78 @@ def mix(
     taken = F.floor(F.col("quota") / F.col("blocks")) * F.col("size") + F.when(rest > 0, extra).otherwise(0)
     return out.select(
         "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"),
-        F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"),
+        F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"), "skey", "shard", *more,
+    )
+
+
+def mix(df: DataFrame, **parameters) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
+    return _taken(df, **parameters).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _more_copies(open_: DataFrame) -> DataFrame:
+    """skey, shard, words, more: how many documents of so many words get a copy for the words that their whole copies leave.
+
+    In each source the lengths are gone through from the longest, and what a
+    length leaves or overdraws is carried to the next, so that a source ends
+    within half of its shortest such document of the words it takes, unless
+    all or none of its documents have got their copy by then. There are no more lengths
+    than about the root of twice the words of a source. The copies of a length
+    are dealt to shards by their documents of it.
+    """
+    cells = cut(open_.groupBy("skey", "words", "shard").agg(F.count("*").alias("m"), F.sum("rest").alias("rest")))
+    lengths = cells.groupBy("skey", "words").agg(F.sum("m").alias("all"), F.sum("rest").alias("rest"))
+    falling = F.sort_array(F.collect_list(F.struct("words", "all", "rest")), asc=False)
+
+    def step(state: Column, x: Column) -> Column:
+        due = state["carry"] + x["rest"]
+        k = F.least(x["all"], F.greatest(F.lit(0), F.floor(due / x["words"] + 0.5))).cast("long")
+        return F.struct((due - k * x["words"]).alias("carry"), F.array_append(state["ks"], k).alias("ks"))
+
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("ks"))
+    settled = (
+        lengths.groupBy("skey").agg(falling.alias("of"))
+        .select("skey", F.explode(F.arrays_zip("of", F.aggregate("of", start, step)["ks"].alias("k"))).alias("x"))
+        .select("skey", "x.of.words", "x.of.all", "x.k")
     )
+    upto = Window.partitionBy("skey", "words").orderBy("shard")
+    dealt = cells.join(settled, ["skey", "words"]).withColumn("upto", F.sum("m").over(upto))
+    return dealt.select("skey", "shard", "words", F.expr("k * upto div all - k * (upto - m) div all").alias("more"))
 
 
-def mixed_documents(df: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``df``, each as many times as the mix takes its words, rounded to whole texts."""
-    taken = cut(mix(df, **parameters).select("doc_id", "source", "size", "taken"))
-    per_key = taken.where("taken > 0").groupBy("doc_id", "source", "size").agg(
-        F.count("*").alias("n"), F.sum("taken").alias("taken")
+def mixed_documents(df: DataFrame, seed: int = 17, **parameters) -> DataFrame:
+    """The rows of ``df``, each as many times as the mix takes its words, in whole texts.
+
+    A document has as many copies as its words are taken in full; for the words
+    left over some documents get one more, so that the words of every source
+    add up. Rows of one doc_id, source and text are one document.
+    """
+    mark = F.xxhash64(F.col("text"))
+    rows = _taken(df, seed=seed, mark=mark, **parameters).where("taken > 0")
+    units = rows.groupBy("skey", "shard", "doc_id", "source", "size", "mark").agg(
+        (F.count("*") * F.col("size")).alias("words"), F.sum("taken").alias("taken")
     )
-    copies = per_key.select(
-        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"),
-        F.round(F.col("taken") / F.col("n") / F.col("size")).cast("int").alias("__copies"),
+    units = cut(units.withColumns({"base": F.expr("taken div words"), "rest": F.expr("taken % words")}))
+    more = _more_copies(units.where("rest > 0"))
+    # of documents of one length and shard, those come first of which the mix takes most
+    first = Window.partitionBy("skey", "shard", "words").orderBy(
+        F.desc("rest"), F.xxhash64(F.lit(seed + 2), "doc_id", "mark"), "doc_id", "mark"
+    )
+    ranked = units.join(more, ["skey", "shard", "words"], "left").withColumn("place", F.row_number().over(first))
+    one_more = F.when((F.col("rest") > 0) & (F.col("place") <= F.col("more")), 1).otherwise(0)
+    copies = ranked.select(
+        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("mark").alias("__m"),
+        (F.col("base") + one_more).cast("int").alias("__copies"),
     ).where("__copies > 0")
     rows = df.withColumns(
-        {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": word_count(F.col("text"))}
+        {
+            "__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": word_count(F.col("text")),
+            "__mark": mark,
+        }
     )
     on = (
         F.col("__id").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+        & (F.col("__mark") == F.col("__m"))
     )
     kept = rows.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return kept.select(*df.columns)

@@ -243,6 +243,24 @@ def test_mixed_documents_are_whole_rows(odd_docs):
     assert out.where("text is null or trim(text) = ''").count() == 0 and out.count() > 0
 
 
+@pytest.mark.parametrize("share", [0.4, 0.8, 1.5])
+def test_mixed_documents_add_up_to_the_targets(make_docs, share):
+    # source a is hot and its documents are of many blocks; b has very long ones, c one length only
+    sizes = {"a": [300 + 37 * i % 900 for i in range(900)], "b": [60_000, 55_000, 52_000, *[20 * i for i in range(1, 60)]], "c": [640] * 150}
+    rows = [(s, n) for s, ns in sizes.items() for n in ns]
+    docs = make_docs([(i, f"d{i} " + "w " * (n - 1), s) for i, (s, n) in enumerate(rows)])
+    got, copies = Counter(), Counter(r["doc_id"] for r in mixing.mixed_documents(docs, share=share).select("doc_id").collect())
+    for i, n in copies.items():
+        got[rows[i][0]] += n * rows[i][1]
+    target, per_doc = {}, {}
+    for r in mixing.mix(docs, share=share).collect():
+        target[r["source"]] = r["target"]
+        per_doc[r["doc_id"]] = r["taken"] / r["size"]
+    for s in sizes:
+        assert abs(got[s] - target[s]) <= 64 + 0.01 * target[s] + (320 if s == "c" else 0), (s, got[s], target[s])
+    assert all(abs(copies[i] - x) < 1 for i, x in per_doc.items())
+
+
 def test_empty_tables(make_docs):
     none = make_docs([])
     assert exact_dedup.exact_groups(none).count() == 0
