@@ -133,6 +133,26 @@ def test_a_page_without_an_article():
     assert place.path == ["body", "div.body"] and wrappers.extract(pages[1], place).startswith("Text 1 word")
 
 
+def test_texts_of_one_sampled_page_are_not_the_template():
+    def build(*parts):
+        return f"<body><div class=menu>Home</div><div class=body>{''.join(parts)}</div></body>"
+
+    a = build("<h1>Title A</h1>", *[f"<p>first {n} of A</p>" for n in range(2)])
+    b = build("<h1>Title B</h1>", "<p>first of B</p><p>second of B</p>", "<blockquote>" + "Quote of B " * 20 + "</blockquote>", "<p>Last words of B</p>")
+    text = wrappers.extract(b, wrappers.locate(wrappers.infer([a, b]), 2))
+    assert "Quote of B" in text and text.endswith("Last words of B")
+
+
+def test_long_bodies_are_aligned_to_their_end():
+    def build(name, n, more=""):
+        return f"<body><div class=body>{more}{''.join(f'<p class=k{i}>text {i} of {name}</p>' for i in range(n))}<p class=same>Same line</p></div></body>"
+
+    a, b = build("A", 950), build("B", 950, "<h2>Only B</h2>")
+    place = wrappers.locate(wrappers.infer([a, b]), 2)
+    text = wrappers.extract(b, place)
+    assert place.template == ["Same line"] and text.startswith("Only B") and text.endswith("text 949 of B")
+
+
 def test_wrappers_are_union_free_expressions():
     wrapper = wrappers.infer([page(1), page(2, "<p>x</p><table><tr><td>1</td></tr></table>"), page(0)])
     text = wrapper.expression()
