@@ -8,6 +8,8 @@ from pathlib import Path
 import duckdb
 import numpy as np
 
+#: The smallest tables.
+DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

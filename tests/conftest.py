@@ -7,7 +7,6 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -27,4 +26,4 @@ def spark(tmp_path_factory):
 def duck():
     import compare
 
-    return compare.connect(DATA)
+    return compare.connect(compare.DATA)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import compare
 import pytest
-from conftest import DATA
 
 from loamline import plans
 
 
 @pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query_matches_sql(spark, duck, name):
-    df = plans.queries()[name](spark, DATA)
+    df = plans.queries()[name](spark, compare.DATA)
     sql = plans.oracle_sql().get(name)
     if sql is None:
         df.collect()
