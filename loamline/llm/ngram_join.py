@@ -1,73 +1,106 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-The Jaccard distance is a metric, so pivots may divide the documents into
-regions. With shingles nearly all distances to any given pivot are 1, which
-tells nothing; a pivot serves only near itself. So pivots are found by prefixes:
-in one order of all shingles, the rarest first, linked sets share one of the
-least of each, as many as a linked set can lack and one more. The least set
-with a shingle in its prefix is the pivot of all others with it there, and a
-document enters the region of every pivot it meets; two linked documents meet
-a pivot together. The order comes from counts of all documents' shingles in a
-fixed number of classes; classes that hold several shingles make it coarser,
-never wrong.
-
-In a region every document is measured against the pivot, by sketches first
-(parities of classes of shingles, which bound the difference of two sets from
-below) and exactly where they allow a link. What is left (regions whose documents are not all connected yet) is joined
-again around the pivot: by the triangle inequality linked documents lie in the
-same ring around it or in adjacent ones, so each enters its own ring and, as a
-boundary document, the next one out; the rings are dealt into units of bounded
-size, and the units compare sketches and then sets exactly. Distances from the
-pivot are those of sketches of one width in a region, a metric as well, which
-never exceed the differences of the sets. Links come out as a
+The size of the symmetric difference is a metric on sets, and sets of a Jaccard
+similarity above the threshold differ in few shingles for their sizes. Pivots
+divide the documents into regions of this space, linked documents meet in a
+region, and regions are joined exactly.
+
+Which pivots can be near a document is found without comparing it to all of
+them. The shingles of a set are dealt into slots by their hashes, somewhat more
+slots than a linked set can differ in shingles. A difference changes one slot
+at most, so linked sets agree in some slots; of the slots, in one order for all
+sets (those with most shingles first), each set shows one more than may differ,
+and linked sets show one in common (``signatures`` has the argument). A shown slot
+holds several shingles, so sets that merely share a passage rarely agree in
+one, however large the corpus. The least set that shows a slot is the pivot of
+all that show it: two linked documents are in a region together.
+
+A region is first measured against its pivot: by sketches (parities of classes of
+shingles, which bound the difference of two sets from below) and exactly where
+they allow a link. Links found join documents to components, and a region whose
+documents are all connected is done. The others are divided again, as long as
+they are large: into bands of size, where a document enters its own band and, as
+a boundary document, the next one up (linked sizes are that close); then into the
+Voronoi regions of pivots drawn from them, where a document goes to its
+nearest pivot, its home, and to every pivot that is farther by no more than twice the
+distance of a link: by the triangle inequality a document linked to one at home there
+can be no farther away. The pieces are divided by new pivots in turn. Small
+pieces, and those that pivots do not divide (dealt into blocks then), are
+compared by sketches and, where these allow a link, exactly. Links come out as a
 spanning forest, never as all pairs of a group. Equal sets are one class and
 are not compared with each other.
 
 Defined results: A-Z count as a-z; a null, empty or blank text has no
 shingles and links with nothing, not even with others like it; a row without
 doc_id takes no part and has no component; rows that repeat a doc_id are rows
-of their own, by their own texts; other columns are ignored. Sets are named by
-64 bits of a cryptographic hash, shingles by 64-bit hashes.
+of their own, by their own texts; other columns are ignored; an empty table gives
+an empty one. Sets are named by 63 bits of a cryptographic hash, shingles by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
 from .common import cut, join_small
 from .components import components
 
-#: Documents in a chunk of a ring; a unit has two chunks.
-CHUNK = 240
-#: Classes of shingles that are counted, a power of two, and the parts that their counts are added in.
-CLASSES, PARTS = 1 << 21, 64
-SUMMARY = pa.schema({"doc_id": pa.int64(), "name": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "part": pa.int32(), "counts": pa.binary()})
-SUMMARY_DDL = "doc_id long, name long, n long, sketch binary, part int, counts binary"
-
-
-def prefixes(sets: np.ndarray, firsts: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, row of each): the least of every set in one order of all shingles, more than a linked set can lack.
-
-    Two linked sets share ``percent`` % of either, so they share the least of
-    the shingles that they share among these. The order is by count (rare ones
-    first) and then by hash; any order is right, this one keeps passages that
-    many documents share out of the prefixes.
+#: Members of a region that are compared without dividing it, and rows in a block of a region that pivots do not divide.
+LEAF, BLOCK = 64, 256
+#: Pivots that are drawn from a region, about; a piece of more than this share of its region counts as not divided.
+PIVOTS, DIVIDED = 8, 0.7
+#: Slots over the shingles that a linked set can differ in.
+SLACK = 1.25
+SUMMARY = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "name": pa.int64(), "n": pa.int64(), "sketch": pa.binary()})
+SUMMARY_DDL = "doc_id long, mark long, name long, n long, sketch binary"
+
+
+def signatures(sets: np.ndarray, firsts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key of a slot, row that shows it): unequal linked sets share one.
+
+    Let D bound the shingles in which a set of n differs from any linked one;
+    D = (100 - percent) / percent * n, as the larger of the two has at most
+    100 / percent times the shingles of the smaller. Sizes fall into classes
+    [2^k, 2^(k+1)), with more than the largest D of the class as slots. As sets
+    of (slot, content), two linked sets of one class differ in D places at most,
+    so in any one order the first D + 1 of each have one in common (the prefix
+    filter). A pair across two classes meets in the lower one, in which the sets
+    just above it take part a second time. Sets with D < 1 are linked to equal ones
+    only and show nothing.
     """
     n = np.diff(firsts)
-    row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((sets, counts[(sets % np.uint64(len(counts))).astype(np.int64)], row))
-    most = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
-    keep = np.arange(len(row)) - firsts[:-1][row] < most[row]
-    return sets[order[keep]], row[keep]
+    k = np.log2(np.maximum(n, 1)).astype(np.int64)
+    top = (1 << k) - 1  # the largest size of the class below
+    own = (n * (100 - percent)) // percent
+    below = np.where((k > 0) & (percent * n <= 100 * top), ((100 - percent) * (top + n)) // (100 + percent), 0)
+    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for level, differ in ((k, own), (k - 1, below)):
+        rows = np.flatnonzero(differ > 0)
+        level, differ, size = level[rows], differ[rows], n[rows]
+        slots = np.ceil(SLACK * (((2 << level) - 1) * (100 - percent) // percent + 1)).astype(np.int64)
+        begin = np.cumsum(slots) - slots
+        row = np.repeat(np.arange(len(rows)), size)
+        shingle = sets[np.arange(len(row)) + np.repeat(firsts[:-1][rows] - (np.cumsum(size) - size), size)]
+        slot = begin[row] + (((shingle >> np.uint64(32)) * slots[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        total = int(slots.sum())
+        content, held = np.zeros(total, np.uint64), np.bincount(slot, minlength=total)
+        np.add.at(content, slot, vectors.mix(shingle))
+        owner = np.repeat(np.arange(len(rows)), slots)
+        place = np.arange(total) - begin[owner]
+        order = np.argsort((owner << 8) | (255 - np.minimum(held, 255)), kind="stable")
+        shown = order[place <= differ[owner]]  # sorted within rows, so the places serve as ranks
+        whose = owner[shown]
+        tag = (place[shown].astype(np.uint64) << np.uint64(6)) | level[whose].astype(np.uint64)
+        keys.append(vectors.mix(content[shown] + vectors.mix(tag)))
+        owners.append(rows[whose])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def sketches(sets: np.ndarray, firsts: np.ndarray) -> list[bytes]:
@@ -103,49 +136,23 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _summaries(words: int) -> Callable:
-    """Name and size of each row's set, and at a task's end how many sets have a shingle of each class, in parts."""
+    """Name, size and sketch of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES, np.uint32)
         for b in batches:
             for at, to, sets, firsts, names in _sets(b["text"], words):
-                counts += np.bincount((sets % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype(np.uint32)
-                ids = b["doc_id"].slice(at, to - at)
+                ids, marks = (b[c].slice(at, to - at) for c in ("doc_id", "mark"))
                 sketch = pa.array(sketches(sets, firsts), pa.binary())
-                nothing = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names), pa.array(np.diff(firsts)), sketch, *nothing], SUMMARY.names)
-        parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, PARTS)]
-        nothing = [*[pa.nulls(PARTS, pa.int64())] * 3, pa.nulls(PARTS, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], SUMMARY.names)
+                yield pa.RecordBatch.from_arrays([ids, marks, pa.array(names), pa.array(np.diff(firsts)), sketch], SUMMARY.names)
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the counts of each part."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, counts in zip(b["part"].to_pylist(), b["counts"], strict=True):
-            one = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
-            total[part] = total[part] + one if part in total else one
-    packed = [zlib.compress(c.tobytes(), 1) for c in total.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
-
-
-def class_counts(summary: DataFrame) -> np.ndarray:
-    """Sets with a shingle of each of CLASSES classes, over all documents; its size does not depend on theirs."""
-    parts = summary.where("part is not null").select("part", "counts").repartition("part")
-    counts = np.zeros((PARTS, CLASSES // PARTS), np.uint32)
-    for r in parts.mapInArrow(_added, "part int, counts binary").collect():  # PARTS rows
-        counts[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return counts.ravel()
-
-
-def _prefixed(words: int, percent: int, counts: Broadcast) -> Callable:
+def _signed(words: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, sets, firsts, names in _sets(b["text"], words):
-                keys, owners = prefixes(sets, firsts, counts.value, percent)
+                keys, owners = signatures(sets, firsts, percent)
                 _, first = np.unique(names, return_index=True)  # a copy adds nothing
                 keep = np.isin(owners, first)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(names[owners[keep]])], ["key", "name"])
@@ -158,6 +165,7 @@ def _packed(words: int) -> Callable:
         for b in batches:
             for at, to, sets, firsts, names in _sets(b["text"], words):
                 right = np.flatnonzero(names == b["name"].slice(at, to - at).to_numpy())  # not another text under this doc_id
+                right = right[np.unique(names[right], return_index=True)[1]]
                 raw = sets.tobytes()
                 packed = [raw[8 * firsts[i] : 8 * firsts[i + 1]] for i in right]
                 yield pa.RecordBatch.from_arrays([pa.array(names[right]), pa.array(packed, pa.binary())], ["name", "shingles"])
@@ -165,66 +173,116 @@ def _packed(words: int) -> Callable:
     return run
 
 
-def _bounded(percent: int) -> Callable:
-    """Sketches of a region's documents against the pivot's: can they be linked, and their distance in ``width`` words."""
+def _bits(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _close(percent: int) -> Callable:
+    """The pairs of a document and a pivot whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, m = b["n"].to_numpy(), b["center_n"].to_numpy()
-            fine, apart = [], []
-            for x, p, w in zip(b["sketch"], b["center"], b["width"].to_numpy(), strict=True):
-                x, p = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, p))
+            apart = []
+            for x, p in zip(b["sketch"], b["center"], strict=True):
+                x, p = _bits(x), _bits(p)
                 both = min(len(x), len(p))
-                d = folded(x, both) ^ folded(p, both)
-                fine.append(int(np.bitwise_count(d).sum()))
-                apart.append(int(np.bitwise_count(folded(d, w)).sum()))
-            possible = np.array(fine, np.int64) * (100 + percent) <= (100 - percent) * (n + m)
-            yield pa.RecordBatch.from_arrays(
-                [b["pivot"], b["name"], b["n"], pa.array(possible), pa.array(apart, pa.int64())], ["pivot", "name", "n", "possible", "apart"]
-            )
+                apart.append(int(np.bitwise_count(folded(x, both) ^ folded(p, both)).sum()))
+            n = b["n"].to_numpy() + b["center_n"].to_numpy()
+            keep = pa.array(np.array(apart, np.int64) * (100 + percent) <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([b["pivot"].filter(keep), b["name"].filter(keep)], ["pivot", "name"])
+
+    return run
+
+
+def _by_unit(of_unit: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """Apply a function to each unit; rows come sorted by unit, and a unit's rows may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            unit = batch["unit"].to_numpy()
+            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1), len(unit)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[-1]["unit"][0].as_py() != unit[a]:
+                    yield of_unit(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield of_unit(pa.Table.from_batches(held))
 
     return run
 
 
 def _measured(percent: int) -> Callable:
-    """The pairs of a document and a pivot that are linked."""
+    """The pairs of a document and its unit's pivot that are linked."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        sets = {name.as_py(): _bits(v) for name, v in zip(t["name"], t["shingles"], strict=True)}
+        found = []
+        for pivot, name in zip(t["pivot"].to_pylist(), t["name"].to_pylist(), strict=True):
+            x, p = sets[name], sets.get(pivot)
+            if p is not None and name != pivot:
+                both = len(np.intersect1d(x, p, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(p) - both):
+                    found.append((pivot, name))
+        a, b = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    return _by_unit(pairs)
+
+
+def _windows(percent: int) -> Callable:
+    """The Voronoi regions that a member enters: its nearest pivot's, and those within the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked = []
-            for x, p in zip(b["shingles"], b["center"], strict=True):
-                x, p = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, p))
-                both = len(np.intersect1d(x, p, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(p) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["name"].filter(keep), b["pivot"].filter(keep)], ["a", "b"])
+            at, piece, home = [], [], []
+            most, width = b["most"].to_numpy(), b["width"].to_numpy()
+            for i, (x, centers) in enumerate(zip(b["sketch"], b["centers"], strict=True)):
+                x = folded(_bits(x), width[i])
+                apart = np.array([np.bitwise_count(x ^ folded(_bits(c), width[i])).sum() for c in centers], np.int64)
+                near = np.flatnonzero(apart <= apart.min() + 2 * ((100 - percent) * 2 * most[i] // (100 + percent)))
+                at += [i] * len(near)
+                piece += near.tolist()
+                home += (near == apart.argmin()).tolist()
+            rows = b.select(["region", "name", "label", "n", "sketch", "core"]).take(pa.array(at, pa.int64()))
+            core = np.array(home, bool) & rows["core"].to_numpy(zero_copy_only=False)
+            region = vectors.mix(rows["region"].to_numpy().view(np.uint64) + np.array(piece, np.uint64) + np.uint64(1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(region), *[rows[c] for c in ("name", "label", "n", "sketch")], pa.array(core), b["size"].take(pa.array(at, pa.int64()))],
+                ["region", "name", "label", "n", "sketch", "core", "was"],
+            )
 
     return run
 
 
-def unit_possible(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, home: np.ndarray, percent: int) -> np.ndarray:
-    """Rows whose sketch allows a link to a row of another label, one of the two at home."""
+def unit_possible(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, core: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """Rows whose sketch allows a link to a row of another label and part, one of the two at home."""
     width, out = np.array([len(x) for x in bits]), np.zeros(len(bits), bool)
     for w in np.unique(width):
         at = np.flatnonzero(width >= w)
         table = np.stack([folded(bits[i], w) for i in at])
-        for k in np.flatnonzero(width[at] == w):
-            i = at[k]
-            apart = np.bitwise_count(table ^ table[k]).sum(axis=1, dtype=np.int64)
-            hit = (apart * (100 + percent) <= (100 - percent) * (n[at] + n[i])) & (label[at] != label[i]) & (home[at] | home[i])
+        for i, row in zip(at, table, strict=True):
+            if width[i] > w:
+                continue
+            apart = np.bitwise_count(table ^ row).sum(axis=1, dtype=np.int64)
+            hit = apart * (100 + percent) <= (100 - percent) * (n[at] + n[i])
+            hit &= (label[at] != label[i]) & (part[at] != part[i]) & (core[at] | core[i])
             out[at[hit]] = True
             out[i] |= hit.any()
     return out
 
 
-def unit_links(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def unit_links(sets: list[np.ndarray], label: np.ndarray, core: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs of rows whose sets are linked; one pair per two labels.
 
-    Only pairs of different labels count, and of them those with a row at home.
+    Only pairs of different labels and parts count, and of them those with a row at home.
     """
     size = np.array([len(x) for x in sets])
     row = np.repeat(np.arange(len(sets)), size)
-    values, code, count = np.unique(np.concatenate(sets) if len(sets) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+    _, code, count = np.unique(np.concatenate(sets) if len(sets) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
     common = count[code] > 1
     row, code = row[common], np.unique(code[common], return_inverse=True)[1]
     same = np.zeros((len(sets), len(sets)), dtype=np.float32)
@@ -237,39 +295,22 @@ def unit_links(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, perc
         same += m @ m.T
     both = same.astype(np.int64)
     either = size[:, None] + size[None, :] - both
-    hit = (100 * both >= percent * either) & (label[:, None] < label[None, :]) & (home[:, None] | home[None, :])
+    hit = (100 * both >= percent * either) & (label[:, None] < label[None, :])
+    hit &= (core[:, None] | core[None, :]) & (part[:, None] != part[None, :])
     i, j = np.nonzero(hit)
     _, first = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
     return list(zip(i[first], j[first], strict=True))
 
 
-def _by_unit(of_unit: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
-    """Apply a function to each unit; rows come sorted by unit, and a unit's rows may span batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            unit = batch["unit"].to_numpy()
-            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1), len(unit)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if held and held[-1]["unit"][0].as_py() != unit[a]:
-                    yield of_unit(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield of_unit(pa.Table.from_batches(held))
-
-    return run
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t[c].to_numpy() if c != "core" else t[c].to_numpy().astype(bool) for c in names]
 
 
 def _possible(percent: int) -> Callable:
     def rows(t: pa.Table) -> pa.RecordBatch:
-        bits = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t["sketch"]]
-        home = t["home"].to_numpy(zero_copy_only=False)
-        keep = unit_possible(t["n"].to_numpy(), bits, t["label"].to_numpy(), home, percent)
-        left = t.select(["unit", "name", "label", "home"]).filter(pa.array(keep)).combine_chunks()
+        n, label, core, part = _columns(t, "n", "label", "core", "part")
+        keep = unit_possible(n, [_bits(v) for v in t["sketch"]], label, core, part, percent)
+        left = t.select(["unit", "name", "label", "core", "part"]).filter(pa.array(keep)).combine_chunks()
         return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in left.columns], left.column_names)
 
     return _by_unit(rows)
@@ -277,48 +318,23 @@ def _possible(percent: int) -> Callable:
 
 def _joined(percent: int) -> Callable:
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t["shingles"]]
-        name = t["name"].to_numpy()
-        found = unit_links(sets, t["label"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), percent)
+        name, label, core, part = _columns(t, "name", "label", "core", "part")
+        found = unit_links([_bits(v) for v in t["shingles"]], label, core, part, percent)
         a, b = (pa.array([int(name[p[k]]) for p in found], pa.int64()) for k in (0, 1))
         return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     return _by_unit(pairs)
 
 
-def regions(df: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(pivot, name): the documents' sets in the region of each pivot, without the pivot's own."""
-    known = df.sparkSession.sparkContext.broadcast(counts)
-    keyed = df.select("text").mapInArrow(_prefixed(words, percent, known), "key long, name long")
-    group = Window.partitionBy("key")
-    return keyed.withColumn("pivot", F.min("name").over(group)).where("name <> pivot").select("pivot", "name").distinct()
-
-
-def _ring_units(rest: DataFrame, percent: int) -> DataFrame:
-    """Deal the rings of each region into units: rows (unit, name, label, home)."""
-    widths = cut(rest.groupBy("pivot").agg(F.max("n").alias("most")).select((-F.col("pivot")).alias("key"), "most"))
-    width = F.floor(F.lit(100 - percent) * 2 * F.col("most") / (100 + percent)) + 1
-    ring = F.floor(F.col("apart") / width)
-    rows = join_small(rest.withColumn("key", -F.col("pivot")), widths, ["key"])
-    rows = rows.withColumn("ring", F.explode(F.array(ring, ring + 1))).withColumn("home", ring == F.col("ring"))
-    rows = rows.drop("most", "key", "n", "apart")
-    # the documents linked to the pivot are connected already: they only meet the others
-    cells = rows.groupBy("pivot", "ring").agg(
-        F.ceil(F.count_if(~F.col("inner")) / CHUNK).cast("int").alias("outs"),
-        F.ceil(F.count_if(F.col("inner")) / CHUNK).cast("int").alias("ins"),
-        F.min("label").alias("one"), F.max("label").alias("other"), F.max("home").alias("lived"),
-    ).where("one <> other and lived and outs > 0")
-    deal = F.pmod(F.xxhash64("name"), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))).cast("int")
-    cells = cut(cells.select((-F.col("pivot")).alias("key"), "ring", "outs", "ins"))
-    rows = join_small(rows.withColumn("key", -F.col("pivot")), cells, ["key", "ring"])
-    rows = rows.withColumn("chunk", F.when(F.col("inner"), F.col("outs") + deal).otherwise(deal))
-    partners = F.when(F.col("inner"), F.sequence(F.lit(0), F.col("outs") - 1)).otherwise(
-        F.sequence(F.lit(0), F.col("outs") + F.col("ins") - 1)
-    )
-    return rows.withColumn("with", F.explode(partners)).select(
-        F.xxhash64("pivot", "ring", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("unit"),
-        "name", "label", "home",
-    )
+def regions(df: DataFrame, words: int, percent: int) -> DataFrame:
+    """(pivot, name): the documents' sets in the region of each pivot, without the pivot's own.
+
+    Least sets are aggregated before they are shuffled, and the join that hands them
+    out has its key on both sides, so a slot that very many sets show is split.
+    """
+    shown = df.select("text").mapInArrow(_signed(words, percent), "key long, name long")
+    pivots = shown.groupBy("key").agg(F.min("name").alias("pivot"), F.max("name").alias("last")).where("pivot <> last")
+    return shown.join(pivots.select("key", "pivot"), "key").where("name <> pivot").select("pivot", "name").distinct()
 
 
 def _packed_sets(df: DataFrame, known: DataFrame, names: DataFrame, words: int) -> DataFrame:
@@ -328,76 +344,150 @@ def _packed_sets(df: DataFrame, known: DataFrame, names: DataFrame, words: int)
     return cut(texts.mapInArrow(_packed(words), "name long, shingles binary").dropDuplicates(["name"]))
 
 
-def links(df: DataFrame, summary: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+def pivot_links(df: DataFrame, met: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the pivots and documents of ``met`` (pivot, name) that are linked.
+
+    Regions are dealt into units of about BLOCK documents, and each unit is sent its
+    pivot's set once.
+    """
+    bits = known.select("name", "n", "sketch")
+    center = known.select(F.col("name").alias("pivot"), F.col("n").alias("center_n"), F.col("sketch").alias("center"))
+    near = met.join(known.select("name", "n"), "name").join(center.drop("center"), "pivot")
+    near = near.where(percent * F.greatest("n", "center_n") <= 100 * F.least("n", "center_n")).select("pivot", "name")
+    close = cut(near.join(bits, "name").join(center, "pivot").mapInArrow(_close(percent), "pivot long, name long"))
+    packed = _packed_sets(df, known, close.select("name").unionByName(close.select(F.col("pivot").alias("name"))), words)
+    sizes = cut(close.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("units")).select((-F.col("pivot")).alias("key"), "units"))
+    dealt = join_small(close.withColumn("key", -F.col("pivot")), sizes, ["key"]).select(
+        "pivot", "name", F.pmod(F.xxhash64("name"), F.col("units")).cast("int").alias("part")
+    )
+    own = sizes.select((-F.col("key")).alias("pivot"), (-F.col("key")).alias("name"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("part"))
+    units = dealt.unionByName(own).join(packed, "name").withColumn("unit", F.xxhash64("pivot", "part"))
+    units = units.repartition("unit").sortWithinPartitions("unit").select("unit", "pivot", "name", "shingles")
+    return cut(units.mapInArrow(_measured(percent), "a long, b long").distinct())
+
+
+def _with_sizes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of regions that are not all connected, with the figures of their region; and these figures."""
+    figures = members.groupBy("region").agg(
+        F.count("*").alias("size"), F.max("was").alias("before"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.max("core").alias("lived"), F.max("n").alias("most"), (F.min(F.octet_length("sketch")) / 8).cast("long").alias("width"),
+        F.min(F.struct(F.xxhash64("name"), "name"))["name"].alias("first"),
+    ).where("low <> high and lived").drop("low", "high", "lived")
+    figures = cut(figures.withColumn("key", F.hash("region")))
+    return join_small(members.withColumn("key", F.hash("region")), figures, ["key", "region"]), figures
+
+
+def _units(members: DataFrame, percent: int) -> DataFrame:
+    """(unit, name, label, n, sketch, core, part): pieces of the regions of ``members`` that are compared as they are.
+
+    Two linked documents of a region, of different labels, are in a unit together,
+    in different parts and at least one of them at home.
+    """
+    unit = ["unit", "name", "label", "n", "sketch", "core", "part"]
+    small, figures = _with_sizes(members.withColumns({"core": F.lit(True), "was": F.lit(None).cast("long")}))
+    out = small.where(F.col("size") <= LEAF).withColumns({"unit": F.col("region"), "part": F.col("name")}).select(*unit)
+    if figures.where(F.col("size") > LEAF).isEmpty():
+        return out
+    # bands of size: the sizes of linked sets are within a factor of 100 / percent
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
+    rows = small.where(F.col("size") > LEAF).withColumn("band", F.explode(F.array(band, band + 1)))
+    rows = rows.select(F.xxhash64("region", "band").alias("region"), "name", "label", "n", "sketch", (F.col("band") == band).alias("core"), F.col("was"))
+    while True:
+        rows, figures = _with_sizes(cut(rows))
+        out = out.unionByName(rows.where(F.col("size") <= LEAF).withColumns({"unit": F.col("region"), "part": F.col("name")}).select(*unit))
+        large = rows.where(F.col("size") > LEAF)
+        whole = F.col("before").isNotNull() & (F.col("size") > DIVIDED * F.col("before"))
+        # not divided by its pivots: blocks, each against each
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = large.where(whole).withColumns({"of": blocks, "block": F.pmod(F.xxhash64("name"), blocks).cast("int")})
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+        out = out.unionByName(
+            dealt.withColumns(
+                {
+                    "unit": F.xxhash64("region", F.least("block", "with"), F.greatest("block", "with")),
+                    "part": F.when(F.col("block") == F.col("with"), F.col("name")).otherwise(F.col("block").cast("long")),
+                }
+            ).select(*unit)
+        )
+        if figures.where((F.col("size") > LEAF) & ~whole).isEmpty():
+            return out
+        large = large.where(~whole)
+        drawn = (F.pmod(F.xxhash64(F.lit(7), "region", "name"), F.col("size")) < PIVOTS) | (F.col("name") == F.col("first"))
+        centers = large.where(drawn).groupBy("region").agg(F.collect_list("sketch").alias("centers"))
+        rows = large.join(centers, "region").select("region", "name", "label", "n", "sketch", "core", "size", "most", "width", "centers")
+        rows = rows.mapInArrow(
+            _windows(percent), "region long, name long, label long, n long, sketch binary, core boolean, was long"
+        )
+
+
+def links(df: DataFrame, summary: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links that connect the set names of ``summary`` (doc_id, name, n, sketch) as all links do.
 
     Sets travel only where sketches allow a link.
     """
-    met = cut(regions(df, counts, words, percent))
+    met = cut(regions(df, words, percent))
     names = met.select("name").unionByName(met.select(F.col("pivot").alias("name"))).distinct()
     known = cut(
         summary.join(names, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    bits = known.select("name", "n", "sketch")
-    center = known.select(F.col("name").alias("pivot"), F.col("n").alias("center_n"), F.col("sketch").alias("center"))
-    pairs = cut(met.join(bits, "name").join(center, "pivot"))
-    word_count = F.least(F.octet_length("sketch"), F.octet_length("center")) / 8
-    width = cut(pairs.groupBy("pivot").agg(F.min(word_count).cast("long").alias("width")).select((-F.col("pivot")).alias("key"), "width"))
-    pairs = join_small(pairs.withColumn("key", -F.col("pivot")), width, ["key"]).drop("key")
-    bounded = cut(pairs.mapInArrow(_bounded(percent), "pivot long, name long, n long, possible boolean, apart long"))
-
-    close = bounded.where("possible").select("pivot", "name")
-    packed = _packed_sets(df, known, close.select("name").unionByName(close.select(F.col("pivot").alias("name"))), words)
-    pivots = packed.select(F.col("name").alias("pivot"), F.col("shingles").alias("center"))
-    first = cut(close.join(packed, "name").join(pivots, "pivot").mapInArrow(_measured(percent), "a long, b long").distinct())
-
-    labels = cut(components(first).select((-F.col("node")).alias("key"), "label"))
-    rest = join_small(bounded.drop("possible").withColumn("key", -F.col("name")), labels, ["key"], "left").withColumn(
-        "label", F.coalesce("label", "name")
-    ).drop("key")
-    centers = met.select("pivot").distinct().withColumn("key", -F.col("pivot")).join(labels, "key", "left").select(
-        "pivot", F.coalesce("label", "pivot").alias("of_pivot")
-    )
+    first = pivot_links(df, met, known, words, percent)
+    labels = components(first).select(F.col("node").alias("name"), "label")
+    labelled = cut(known.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).select("name", "label", "n", "sketch"))
+    members = met.unionByName(met.select("pivot", F.col("pivot").alias("name")).distinct()).withColumnRenamed("pivot", "region")
+    tags = labelled.select("name", "label")
     # regions whose documents are all connected are done
-    open_ = rest.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(centers, "pivot")
-    open_ = cut(open_.where("low <> high").select((-F.col("pivot")).alias("key"), "of_pivot"))
-    rest = cut(
-        join_small(rest.withColumn("key", -F.col("pivot")), open_, ["key"]).withColumn("inner", F.col("label") == F.col("of_pivot"))
-        .drop("key", "of_pivot")
+    open_ = members.join(tags, "name").groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    members = members.join(open_.where("low <> high").select("region"), "region").join(labelled, "name")
+    units = _units(cut(members.select("region", "name", "label", "n", "sketch")), percent)
+    units = cut(
+        units.repartition("unit").sortWithinPartitions("unit")
+        .mapInArrow(_possible(percent), "unit long, name long, label long, core boolean, part long")
     )
-    units = _ring_units(rest, percent).join(bits, "name").repartition("unit").sortWithinPartitions("unit")
-    units = cut(units.mapInArrow(_possible(percent), "unit long, name long, label long, home boolean"))
     packed = _packed_sets(df, known, units.select("name"), words)
     units = units.join(packed, "name").repartition("unit").sortWithinPartitions("unit")
     return first.unionByName(units.mapInArrow(_joined(percent), "a long, b long").distinct())
 
 
-def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: components of sets with a Jaccard similarity of ``percent`` % or more."""
+def _grouped(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n, label) of rows whose set takes part, and (doc_id, mark, n) of the others."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(docs.mapInArrow(_summaries(words), SUMMARY_DDL))
-    counts, summary = class_counts(found), found.where("part is null").select("doc_id", "name", "n", "sketch")
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    summary = cut(marked.mapInArrow(_summaries(words), SUMMARY_DDL))
     whole = summary.where("doc_id is not null and n > 0")
-    found = components(links(docs.where("doc_id is not null"), whole, counts, words, percent))
+    found = components(links(docs.where("doc_id is not null"), whole, words, percent))
     found = found.select((-F.col("node")).alias("key"), "label")
-    grouped = cut(
-        whole.withColumn("key", -F.col("name")).join(found, "key", "left")
-        .select("doc_id", "n", F.coalesce("label", "name").alias("label"))
-    )
+    grouped = whole.withColumn("key", -F.col("name")).join(found, "key", "left").select("doc_id", "mark", "n", F.coalesce("label", "name").alias("label"))
+    return cut(grouped), summary.where("doc_id is null or n = 0").select("doc_id", "mark", "n")
+
+
+def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: components of sets with a Jaccard similarity of ``percent`` % or more."""
+    grouped, alone = _grouped(df, words, percent)
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id")).select((-F.col("label")).alias("key"), "component_id")
     out = grouped.withColumn("key", -F.col("label")).join(least, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = summary.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone)
+    return out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def leave_one(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component the row of its least doc_id stays.
+    """The rows of ``df`` without near duplicates: of each component one row stays, of its least doc_id.
 
-    Rows without doc_id or words stay.
+    Of rows that share this doc_id with different texts, the one of the least hash of
+    its text stays, and of rows that repeat both, the first by their other columns'
+    values. Rows without doc_id or words stay; other texts under a doc_id that goes are
+    judged by their own component; all columns are kept.
     """
-    groups = near_components(df.select("doc_id", "text"), words, percent)
-    gone = cut(groups.where("component_id < doc_id").select(F.col("doc_id").alias("__d")).distinct())
-    small = join_small(
-        df.withColumn("__d", F.col("doc_id").cast("long")), gone.withColumn("__gone", F.lit(True)), ["__d"], "left"
+    grouped, _ = _grouped(df, words, percent)
+    rows = grouped.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    least = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("stays")).withColumn("key", -F.col("label")).drop("label")
+    rows = rows.withColumn("key", -F.col("label")).join(least, "key").withColumn(
+        "gone", (F.col("doc_id") != F.col("stays.doc_id")) | (F.col("mark") != F.col("stays.mark"))
     )
-    return small.where("__gone is null").select(*df.columns)
+    touched = cut(rows.where("gone or copies > 1").select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), F.col("gone").alias("__gone")))
+    marked = df.withColumns({"__d": F.col("doc_id").cast("long"), "__m": F.xxhash64(F.col("text").cast("string"))})
+    marked = join_small(marked, touched, ["__d", "__m"], "left")
+    out = marked.where("__gone is null").select(*df.columns)
+    if touched.where("not __gone").isEmpty():
+        return out
+    every = F.struct(*[F.col(c) for c in df.columns])
+    one = marked.where("not __gone").groupBy("__d", "__m").agg(F.min_by(every, F.to_json(every)).alias("__row"))
+    return out.unionByName(one.select("__row.*"))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Fixed random numbers: one per byte value, an odd step, and multipliers for the places of an n-gram.
+#: Fixed random numbers: multipliers for the places of an n-gram, and a start for words.
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
-_STEP = np.uint64(int(_RNG.integers(1, 2**63)) * 2 + 1)
-_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_START = np.uint64(int(_RNG.integers(1, 2**63)) * 2 + 1)
 _PLACE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]  # A-Z hash as a-z
+#: Masks of the first 0 to 8 bytes of a block, and the bytes from which a word is hashed by hashlib.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LONG = 64
 #: Bytes of text that are hashed at a time.
 SLICE_BYTES = 2_000_000
 
@@ -27,13 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -57,8 +53,9 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of every row and the end); A-Z count as a-z.
 
     A word is a run of bytes other than space and tab to carriage return, which
-    in UTF-8 is a run of such characters. Its hash is a polynomial in its bytes,
-    taken from running sums.
+    in UTF-8 is a run of such characters. Its hash goes through it in blocks of
+    eight bytes, each mixed with what went before; that of a long word is
+    cryptographic.
     """
     raw, offsets = string_bytes(column)
     n = len(raw)
@@ -73,12 +70,22 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stop = np.empty(n, dtype=bool)
     stop[-1], stop[:-1] = True, ~inside[1:]
     stop[begins[begins > 0] - 1] = True
-    ends = np.flatnonzero(inside & stop) + 1
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[raw] * _powers(_STEP, n), out=sums[1:])
-    hashed = (sums[ends] - sums[starts]) * _powers(_BACK, n)[starts]
-    return mix(hashed + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    length = np.flatnonzero(inside & stop) + 1 - starts
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[raw]
+    blocks = np.lib.stride_tricks.sliding_window_view(low, 8)
+    hashed = mix(length.astype(np.uint64) + _START)
+    short = np.flatnonzero(length <= LONG)
+    for k in range(0, LONG, 8):
+        short = short[length[short] > k]
+        if not len(short):
+            break
+        block = blocks[starts[short] + k].view(np.uint64).ravel() & _MASK[np.minimum(length[short] - k, 8)]
+        hashed[short] = mix((hashed[short] ^ block) + _START)
+    for i in np.flatnonzero(length > LONG):
+        word = low[starts[i] : starts[i] + length[i]].tobytes()
+        hashed[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return hashed, np.searchsorted(starts, offsets)
 
 
 def shingles(hashed: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

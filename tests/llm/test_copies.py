@@ -112,22 +112,30 @@ def variants(seed, n, size=60, most=14):
 @pytest.mark.parametrize("percent", [80, 90])
 def test_a_large_group_of_variants_is_joined_exactly(make_docs, percent, monkeypatch):
     rows = variants(percent, 260)
-    monkeypatch.setattr(ngram_join, "CHUNK", 20)
+    monkeypatch.setattr(ngram_join, "LEAF", 12)
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
     got = ngram_join.near_components(make_docs([(i, t, "a") for i, t in rows]), 1, percent).collect()
     assert sorted((tuple(r) for r in got), key=repr) == near_brute(rows, 1, percent)
 
 
-def test_linked_sets_share_a_prefix_shingle():
+def test_linked_sets_show_a_slot_in_common():
     rng = np.random.default_rng(5)
-    counts = rng.integers(0, 5, 1 << 10).astype(np.uint32)
-    for n in (1, 4, 9, 30, 200, 1500):
+    for n in (*range(1, 40), 63, 64, 70, 127, 200, 255, 260, 1500):
         for percent in (80, 90):
-            x = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
-            y = np.sort(rng.permutation(x)[int(n * (1 - percent / 100)) :])
-            firsts = np.array([0, len(x), len(x) + len(y)])
-            keys, row = ngram_join.prefixes(np.concatenate([x, y]), firsts, counts, percent)
-            if len(y) and 100 * len(y) >= percent * len(x):
-                assert set(keys[row == 0]) & set(keys[row == 1])
+            x = rng.integers(0, 2**63, n, dtype=np.uint64)
+            for lost in range(n * (100 - percent) // 100 + 1):
+                new = rng.integers(0, 2**63, rng.integers(0, n * (100 - percent) // percent + 1), dtype=np.uint64)
+                y = np.concatenate([x[lost:], new])
+                if 100 * (n - lost) >= percent * (n + len(new)) and (lost or len(new)):
+                    sets = np.concatenate([np.sort(x), np.sort(y)])
+                    keys, row = ngram_join.signatures(sets, np.array([0, n, len(sets)]), percent)
+                    assert set(keys[row == 0]) & set(keys[row == 1]), (n, percent, lost, len(new))
+
+
+def test_signatures_are_few():
+    sets = np.sort(np.random.default_rng(6).integers(0, 2**63, 3000, dtype=np.uint64))
+    for percent, most in ((80, 1600), (90, 800)):
+        assert len(ngram_join.signatures(sets, np.array([0, 3000, 3000]), percent)[0]) < most
 
 
 def test_sketches_bound_differences():
@@ -142,10 +150,28 @@ def test_sketches_bound_differences():
     assert np.bitwise_count(a ^ b).sum() > 100
 
 
-def test_class_counts_cover_all_documents(spark):
-    summary = documents(spark).select("doc_id", "text").repartition(5).mapInArrow(ngram_join._summaries(3), ngram_join.SUMMARY_DDL)
-    rows = [(r["doc_id"], r["text"]) for r in documents(spark).select("doc_id", "text").collect()]
-    assert ngram_join.class_counts(summary.cache()).sum() == sum(map(len, shingle_sets(rows, 3)))
+def test_words_that_differ_have_different_hashes():
+    import pyarrow as pa
+
+    def thue(n):
+        a, b = "a", "b"
+        for _ in range(n):
+            a, b = a + b, b + a
+        return [a, b]
+
+    texts = [*thue(10), *thue(5), *thue(4), "x" * 64, "x" * 65, "x" * 8, "x" * 9, "xxxxxxxx\0", "日本語日本語", "日本語日本"]
+    hashed, firsts = ngram_join.vectors.words(pa.array(texts))
+    assert firsts.tolist() == list(range(len(texts) + 1)) and len(set(hashed.tolist())) == len(texts)
+    again, _ = ngram_join.vectors.words(pa.array(["q " + t.upper() if t.isascii() else t for t in texts]))
+    assert set(hashed.tolist()) <= set(again.tolist())
+
+
+def test_texts_of_long_words_are_not_linked(make_docs):
+    a, b = "0", "1"
+    for _ in range(10):
+        a, b = a + b, b + a
+    got = ngram_join.near_components(make_docs([(1, a, "s"), (2, b, "s")]), 3, 90).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2)]
 
 
 def test_components_of_a_long_chain(spark):
@@ -154,9 +180,13 @@ def test_components_of_a_long_chain(spark):
     assert set(got[i] for i in range(201)) == {0} and got[501] == 500
 
 
-def test_leave_one(odd_docs):
+def test_leave_one(odd_docs, make_docs):
     kept = [r["doc_id"] for r in ngram_join.leave_one(odd_docs).collect()]
-    assert sorted(kept, key=repr) == sorted([1, 3, 4, 5, 6, 8, 8, 10, None, None], key=repr)
+    assert sorted(kept, key=repr) == sorted([1, 3, 4, 5, 6, 8, 10, None, None], key=repr)
+    text, near = " ".join(f"t{i}" for i in range(80)), " ".join(f"t{i}" for i in range(79))
+    rows = [(1, text, "a"), (2, near, "a"), (2, "another text of its own", "a"), (1, text, "a"), (3, "alone", "b"), (3, "alone", "a")]
+    got = sorted((r["doc_id"], r["text"], r["source"]) for r in ngram_join.leave_one(make_docs(rows)).collect())
+    assert got == [(1, text, "a"), (2, "another text of its own", "a"), (3, "alone", "a")]
 
 
 def test_sharding(odd_docs, spark):
