@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import cut, join_small
+from .common import cut, join_small, stored
 from .components import components
 
 #: Members of a region that are compared without dividing it, and rows in a block of a region that pivots do not divide.
@@ -276,7 +276,7 @@ def unit_possible(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, core
 
 
 def unit_links(sets: list[np.ndarray], label: np.ndarray, core: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows whose sets are linked; one pair per two labels.
+    """Pairs of rows whose sets are linked, as many as connect the labels that the links connect.
 
     Only pairs of different labels and parts count, and of them those with a row at home.
     """
@@ -298,8 +298,19 @@ def unit_links(sets: list[np.ndarray], label: np.ndarray, core: np.ndarray, part
     hit = (100 * both >= percent * either) & (label[:, None] < label[None, :])
     hit &= (core[:, None] | core[None, :]) & (part[:, None] != part[None, :])
     i, j = np.nonzero(hit)
-    _, first = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
-    return list(zip(i[first], j[first], strict=True))
+    _, of = np.unique(label, return_inverse=True)
+    link = np.full((int(of.max(initial=-1)) + 1,) * 2, -1, np.int64)  # a link between two labels, if any
+    link[of[i], of[j]] = link[of[j], of[i]] = np.arange(len(i))
+    found, new = [], np.ones(len(link), bool)
+    for start in range(len(link)):
+        reached = [start] if new[start] else []
+        new[start] = False
+        for x in reached:
+            near = np.flatnonzero((link[x] >= 0) & new)
+            new[near] = False
+            reached += near.tolist()
+            found += link[x][near].tolist()
+    return [(int(i[k]), int(j[k])) for k in found]
 
 
 def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
@@ -373,7 +384,7 @@ def _with_sizes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max("core").alias("lived"), F.max("n").alias("most"), (F.min(F.octet_length("sketch")) / 8).cast("long").alias("width"),
         F.min(F.struct(F.xxhash64("name"), "name"))["name"].alias("first"),
     ).where("low <> high and lived").drop("low", "high", "lived")
-    figures = cut(figures.withColumn("key", F.hash("region")))
+    figures = stored(figures.withColumn("key", F.hash("region")))
     return join_small(members.withColumn("key", F.hash("region")), figures, ["key", "region"]), figures
 
 
@@ -393,7 +404,7 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
     rows = small.where(F.col("size") > LEAF).withColumn("band", F.explode(F.array(band, band + 1)))
     rows = rows.select(F.xxhash64("region", "band").alias("region"), "name", "label", "n", "sketch", (F.col("band") == band).alias("core"), F.col("was"))
     while True:
-        rows, figures = _with_sizes(cut(rows))
+        rows, figures = _with_sizes(stored(rows))
         out = out.unionByName(rows.where(F.col("size") <= LEAF).withColumns({"unit": F.col("region"), "part": F.col("name")}).select(*unit))
         large = rows.where(F.col("size") > LEAF)
         whole = F.col("before").isNotNull() & (F.col("size") > DIVIDED * F.col("before"))

@@ -180,6 +180,21 @@ def test_components_of_a_long_chain(spark):
     assert set(got[i] for i in range(201)) == {0} and got[501] == 500
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_a_search(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = [(int(a), int(b)) for a, b in rng.integers(-90, 90, (110, 2))] + [(200 + seed, k) for k in range(300, 340)]
+    want = {x: x for p in links for x in p if p[0] != p[1]}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    odd = [(7, 7), (None, 3), (5, None), links[0]]
+    got = components(spark.createDataFrame(links + odd, "a long, b long")).collect()
+    assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+    assert components(spark.createDataFrame(odd[:3], "a long, b long")).count() == 0
+
+
 def test_leave_one(odd_docs, make_docs):
     kept = [r["doc_id"] for r in ngram_join.leave_one(odd_docs).collect()]
     assert sorted(kept, key=repr) == sorted([1, 3, 4, 5, 6, 8, 10, None, None], key=repr)
