@@ -11,12 +11,12 @@ first one, |T| - i + 1 remain and must be enough (positional filter). What passe
 counted exactly.
 
 On top of these stand the base labels: phrases whose words stand
-consecutively. A phrase is found by one pattern over the words and its place
-is the number of words before it.
+consecutively, looked for around their rarest word; the place of a phrase is the
+number of words before it.
 
 Defined results: a null or empty text has 0 words, no places, empty label
 strings and score 0; overlapping templates all give their label; other columns
-are ignored.
+are ignored; repeated rows are rows of their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -59,18 +59,14 @@ def _lower(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def _count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(LICENSE_WORD)).cast("long")
-
-
-def phrase_pattern(phrase: str) -> str:
-    return f"(?<!{LICENSE_WORD[:-1]})" + f"{NOT_WORD}+".join(phrase.split()) + f"(?!{LICENSE_WORD[:-1]})"
+def _parts(text: Column) -> Column:
+    """The words of ``text`` in their order; the first and the last may be empty."""
+    return F.split(_lower(text), f"{NOT_WORD}+")
 
 
 def token_frequencies(df: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """Documents that hold each of the template tokens, over all documents; the result has a row per token at most."""
-    words = F.array_distinct(F.split(_lower(F.col("text")), f"{NOT_WORD}+"))
-    kept = F.filter(words, lambda w: w.isin(tokens))
+    """Documents that hold each of the given tokens, over all documents; the result has a row per token at most."""
+    kept = F.array_distinct(F.filter(_parts(F.col("text")), lambda w: w.isin(tokens)))
     rows = df.select(F.explode(kept).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()
     return {r["token"]: r["n"] for r in rows}
 
@@ -81,56 +77,72 @@ def scan(
     templates: dict[str, str] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
+
+    One pass over a text finds the places of prefix tokens and of each phrase's rarest
+    word; only blocks around the former are formed, of template tokens alone, and
+    what the length filter leaves of them meets the templates.
+    """
     sets = {t: sorted(set(t.split())) for t in templates}
     if any(len(s) > STRIDE for s in sets.values()):
         raise ValueError("a template has more tokens than a block is sure to hold")
-    often = token_frequencies(df, sorted({w for s in sets.values() for w in s}))
-    ordered = {t: sorted(s, key=lambda w: (often.get(w, 0), w)) for t, s in sets.items()}
+    tokens = sorted({w for s in sets.values() for w in s})
+    often = token_frequencies(df, sorted({*tokens, *(w for p in phrases for w in p.split())}))
+    rarity = lambda w: (often.get(w, 0), w)
+    ordered = {t: sorted(s, key=rarity) for t, s in sets.items()}
     needed = {t: -int((1e-9 - threshold * len(s)) // 1) for t, s in ordered.items()}
     prefixes = {t: s[: len(s) - needed[t] + 1] for t, s in ordered.items()}
     rare = sorted({w for p in prefixes.values() for w in p})
-    any_rare = f"(?<!{LICENSE_WORD[:-1]})(?:{'|'.join(rare)})(?!{LICENSE_WORD[:-1]})"
-
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), _lower(F.col("text")).alias("t"))
-    rows = rows.withColumns({"n_words": _count(F.col("t")), "probe": F.col("t").rlike(any_rare)})
-    # words and blocks only of texts that hold a token of some prefix
-    words = F.filter(F.split("t", f"{NOT_WORD}+"), lambda w: w != "")
-    rows = rows.withColumn("words", F.when(F.col("probe"), words))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(STRIDE))
-    blocks = F.transform(starts, lambda i: F.array_distinct(F.slice(F.col("words"), i + 1, F.lit(BLOCK))))
-    held = F.filter(blocks, lambda b: F.arrays_overlap(b, F.array(*map(F.lit, rare))))
-    rows = rows.withColumn("blocks", F.when(F.col("probe"), held).otherwise(F.array().cast("array<array<string>>")))
+    keys = {p: min(p.split(), key=rarity) for p in phrases}
+
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), _parts(F.col("text")).alias("w"))
+    before = (F.element_at("w", 1) == "").cast("int")  # empty parts before the first word
+    after = ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(sorted({*rare, *keys.values()})))
+    rows = rows.withColumns({"n_words": (F.size("w") - before - after).cast("long"), "before": before, "at": at})
+
+    # blocks that hold a prefix token (prefix filter): of its place, the block begun last and the one before
+    hits = F.filter("at", lambda i: F.get("w", i).isin(rare))
+    near = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(*[F.floor((i - F.col("before")) / STRIDE) - k for k in range(BLOCK // STRIDE)]))))
+    begun = F.filter(near, lambda b: b >= 0)
+    block = lambda b: F.slice("w", (b * STRIDE + F.col("before") + 1).cast("int"), F.lit(BLOCK))
+    held = F.transform(begun, lambda b: F.array_distinct(F.filter(block(b), lambda w: w.isin(tokens))))
+    least = min(needed.values())
+    rows = rows.withColumn("blocks", F.filter(held, lambda b: F.size(b) >= least))  # length filter
 
     def best(template: str) -> Column:
         """The largest containment of the template in a block, where it meets the threshold; else 0."""
-        tokens, o = ordered[template], needed[template]
-
-        def containment(block: Column) -> Column:
-            first = F.coalesce(*[F.when(F.array_contains(block, w), F.lit(i)) for i, w in enumerate(prefixes[template])])
-            passes = (F.size(block) >= o) & first.isNotNull() & (len(tokens) - first >= o)
-            both = F.size(F.array_intersect(block, F.array(*map(F.lit, tokens))))
-            return F.when(passes & (both >= o), both / F.lit(len(tokens))).otherwise(0.0)
-
-        return F.coalesce(F.array_max(F.transform(F.col("blocks"), containment)), F.lit(0.0))
-
-    found = {f"s{k}": best(t) for k, t in enumerate(templates)}
-    places = {f"p{k}": F.when(F.col("t").rlike(phrase_pattern(p)), F.split("t", phrase_pattern(p))) for k, p in enumerate(phrases)}
-    rows = rows.withColumns(found | places)
-    base, first, last, names = [], [], [], []
-    for k, (phrase, label) in enumerate(phrases.items()):
-        parts, m = F.col(f"p{k}"), len(phrase.split())
-        base.append(F.when(parts.isNotNull(), F.size(parts) - 1).otherwise(0))
-        first.append(_count(F.element_at(parts, 1)))
-        last.append(F.col("n_words") - _count(F.element_at(parts, -1)) - m)
-        names.append(F.when(parts.isNotNull(), F.lit(label)))
-    n_base = sum(base[1:], base[0]).cast("long")
-    lowest = F.array_min(F.array_compact(F.array(*first)))
-    highest = F.array_max(F.array_compact(F.array(*last)))
+        of, o = ordered[template], needed[template]
+
+        def containment(b: Column) -> Column:
+            first = F.coalesce(*[F.when(F.array_contains(b, w), F.lit(i)) for i, w in enumerate(prefixes[template])])
+            passes = (F.size(b) >= o) & first.isNotNull() & (len(of) - first >= o)
+            both = F.size(F.array_intersect(b, F.array(*map(F.lit, of))))
+            return F.when(passes & (both >= o), both / F.lit(len(of))).otherwise(0.0)
+
+        found = F.coalesce(F.array_max(F.transform("blocks", containment)), F.lit(0.0))
+        return F.when(F.size("blocks") > 0, found).otherwise(0.0)
+
+    def places(phrase: str) -> Column:
+        """Where the phrase begins, as numbers of words before it."""
+        words, key = phrase.split(), phrase.split().index(keys[phrase])
+
+        def stands(i: Column) -> Column:
+            found = F.get("w", i) == words[key]
+            for k, word in enumerate(words):
+                found = found & (F.get("w", i + (k - key)) == word)
+            return found
+
+        return F.transform(F.filter("at", stands), lambda i: i - key - F.col("before"))
+
+    rows = rows.withColumns({f"s{k}": best(t) for k, t in enumerate(templates)} | {f"p{k}": places(p) for k, p in enumerate(phrases)})
+    all_places = F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])
+    names = [F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]
     more = [F.when(F.col(f"s{k}") > 0, F.lit(label)) for k, label in enumerate(templates.values())]
     join = lambda cols: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*cols)))), ",")
-    score = F.greatest(F.when(n_base > 0, F.lit(1.0)).otherwise(0.0), *[F.col(s) for s in found])
+    rows = rows.withColumn("places", all_places)
+    score = F.greatest(F.when(F.size("places") > 0, F.lit(1.0)).otherwise(0.0), *[F.col(f"s{k}") for k in range(len(templates))])
     return rows.select(
-        "doc_id", "n_words", n_base.alias("n_base"), lowest.alias("first_word"), highest.alias("last_word"),
-        join(names).alias("base_labels"), join([*names, *more]).alias("labels"), score.alias("score"),
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"), join(names).alias("base_labels"), join([*names, *more]).alias("labels"), score.alias("score"),
     )

@@ -238,3 +238,36 @@ def test_odd_labels(spark, odd_docs, make_docs):
     assert len(got) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in got)
     empty = toxicity.train(odd_docs, labels.where("doc_id < 0"))
     assert toxicity.score(make_docs([]), empty).count() == 0 and empty.score(None) == pytest.approx(0.5)
+
+
+def license_brute(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    places = {p: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p in licenses.PHRASES}
+    blocks = [set(words[i : i + licenses.BLOCK]) for i in range(0, len(words), licenses.STRIDE)]
+    held = {t: max((len(b & set(t.split())) / len(set(t.split())) for b in blocks), default=0.0) for t in licenses.TEMPLATES}
+    held = {t: h for t, h in held.items() if h >= licenses.THRESHOLD - 1e-9}
+    base = {licenses.PHRASES[p] for p, at in places.items() if at}
+    every = sorted(i for at in places.values() for i in at)
+    labels = base | {licenses.TEMPLATES[t] for t in held}
+    score = 1.0 if every else max(held.values(), default=0.0)
+    return len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+
+
+def test_license_scan_equals_brute_force(odd_docs, make_docs):
+    rng = random.Random(3)
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    pool = [*licenses.PHRASES, *licenses.TEMPLATES]
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            words = rng.choice(pool).split()
+            for _ in range(rng.randrange(0, 4)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["the", "x", "license", "of"]))
+            parts += words + ["filler"] * rng.randrange(0, 90)
+        rows.append((100 + i, rng.choice(["", "  ", "-- "]) + rng.choice([" ", ", "]).join(parts).title() + rng.choice(["", ".", " \n"])))
+    long = "word " * 30_000 + "Under THE MIT-license. " + "word " * 30_000 + "cc by nc"
+    rows += [(500, long), (500, long), (501, "cc by nc cc by nc"), (502, "1 Apache license, version 2.0"), (None, "under the mit license")]
+    docs = make_docs([(i, t, "a") for i, t in rows])
+    got = sorted((tuple(r) for r in licenses.scan(docs).collect()), key=repr)
+    assert got == sorted(((i, *license_brute(t)) for i, t in rows), key=repr)
+    assert licenses.scan(make_docs([])).count() == 0
