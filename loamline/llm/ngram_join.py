@@ -11,8 +11,8 @@ slots than a linked set can differ in shingles. A difference changes one slot
 at most, so linked sets agree in some slots; of the slots, in one order for all
 sets (those with most shingles first), each set shows one more than may differ,
 and linked sets show one in common (``signatures`` has the argument). A shown slot
-holds several shingles, so sets that merely share a passage rarely agree in
-one, however large the corpus. The least set that shows a slot is the pivot of
+holds several shingles, and slots that very many sets have are shown last, so sets that
+merely share a passage rarely agree in one, however large the corpus. The least set that shows a slot is the pivot of
 all that show it: two linked documents are in a region together.
 
 A region is first measured against its pivot: by sketches (parities of classes of
@@ -45,6 +45,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,38 +53,32 @@ from . import vectors
 from .common import cut, join_small, stored
 from .components import components
 
-#: Members of a region that are compared without dividing it, and rows in a block of a region that pivots do not divide.
-LEAF, BLOCK = 64, 256
-#: Pivots that are drawn from a region, about; a piece of more than this share of its region counts as not divided.
-PIVOTS, DIVIDED = 8, 0.7
+#: Members of a region that are compared without dividing it; and rows, and shingles, in a block of a region that pivots do not divide.
+LEAF, BLOCK, WEIGHT = 64, 512, 1_500_000
+#: Pivots that are drawn from a region, about; pieces that its members enter on average, and the share of it that a piece
+#: may have, if it is to be divided.
+PIVOTS, WINDOWS, DIVIDED = 8, 3, 0.7
 #: Slots over the shingles that a linked set can differ in.
 SLACK = 1.25
-SUMMARY = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "name": pa.int64(), "n": pa.int64(), "sketch": pa.binary()})
-SUMMARY_DDL = "doc_id long, mark long, name long, n long, sketch binary"
+#: Slots that a task counts at a time; sets of a slot from which it counts as common; and common slots that are kept (8 bytes each).
+HELD, OFTEN, COMMON = 4_000_000, 64, 1 << 20
+SUMMARY = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "name": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "key": pa.int64(), "count": pa.int64()})
+SUMMARY_DDL = "doc_id long, mark long, name long, n long, sketch binary, key long, count long"
 
 
-def signatures(sets: np.ndarray, firsts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key of a slot, row that shows it): unequal linked sets share one.
+NONE = np.empty(0, np.uint64)
 
-    Let D bound the shingles in which a set of n differs from any linked one;
-    D = (100 - percent) / percent * n, as the larger of the two has at most
-    100 / percent times the shingles of the smaller. Sizes fall into classes
-    [2^k, 2^(k+1)), with more than the largest D of the class as slots. As sets
-    of (slot, content), two linked sets of one class differ in D places at most,
-    so in any one order the first D + 1 of each have one in common (the prefix
-    filter). A pair across two classes meets in the lower one, in which the sets
-    just above it take part a second time. Sets with D < 1 are linked to equal ones
-    only and show nothing.
-    """
+
+def _slots(sets: np.ndarray, firsts: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """By class: (key, shingles held, index in ``rows``, place) of each slot, rows, and the shingles a linked set can differ in."""
     n = np.diff(firsts)
     k = np.log2(np.maximum(n, 1)).astype(np.int64)
     top = (1 << k) - 1  # the largest size of the class below
     own = (n * (100 - percent)) // percent
     below = np.where((k > 0) & (percent * n <= 100 * top), ((100 - percent) * (top + n)) // (100 + percent), 0)
-    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for level, differ in ((k, own), (k - 1, below)):
         rows = np.flatnonzero(differ > 0)
-        level, differ, size = level[rows], differ[rows], n[rows]
+        level, size = level[rows], n[rows]
         slots = np.ceil(SLACK * (((2 << level) - 1) * (100 - percent) // percent + 1)).astype(np.int64)
         begin = np.cumsum(slots) - slots
         row = np.repeat(np.arange(len(rows)), size)
@@ -94,12 +89,33 @@ def signatures(sets: np.ndarray, firsts: np.ndarray, percent: int) -> tuple[np.n
         np.add.at(content, slot, vectors.mix(shingle))
         owner = np.repeat(np.arange(len(rows)), slots)
         place = np.arange(total) - begin[owner]
-        order = np.argsort((owner << 8) | (255 - np.minimum(held, 255)), kind="stable")
+        tag = (place.astype(np.uint64) << np.uint64(6)) | level[owner].astype(np.uint64)
+        yield vectors.mix(content + vectors.mix(tag)), held, owner, place, rows, differ[rows]
+
+
+def signatures(sets: np.ndarray, firsts: np.ndarray, percent: int, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """(key of a slot, row that shows it): unequal linked sets share one.
+
+    Let D bound the shingles in which a set of n differs from any linked one;
+    D = (100 - percent) / percent * n, as the larger of the two has at most
+    100 / percent times the shingles of the smaller. Sizes fall into classes
+    [2^k, 2^(k+1)), with more than the largest D of the class as slots. As sets
+    of (slot, content), two linked sets of one class differ in D places at most,
+    so in any one order the first D + 1 of each have one in common (the prefix
+    filter). A pair across two classes meets in the lower one, in which the sets
+    just above it take part a second time. Sets with D < 1 are linked to equal ones
+    only and show nothing. The order has the ``common`` keys (sorted) last, so that
+    passages that many documents share are not shown, and then the slots with most
+    shingles first.
+    """
+    keys, owners = [NONE], [np.empty(0, np.int64)]
+    for key, held, owner, place, rows, differ in _slots(sets, firsts, percent):
+        at = np.searchsorted(common, key)
+        late = common[np.minimum(at, len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
+        order = np.argsort((owner << 9) | (late.astype(np.int64) << 8) | (255 - np.minimum(held, 255)), kind="stable")
         shown = order[place <= differ[owner]]  # sorted within rows, so the places serve as ranks
-        whose = owner[shown]
-        tag = (place[shown].astype(np.uint64) << np.uint64(6)) | level[whose].astype(np.uint64)
-        keys.append(vectors.mix(content[shown] + vectors.mix(tag)))
-        owners.append(rows[whose])
+        keys.append(key[shown])
+        owners.append(rows[owner[shown]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -135,25 +151,53 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray,
         yield at, to, sets, firsts, np.frombuffer(b"".join(names), dtype=np.int64) >> 1  # room for a sign
 
 
-def _summaries(words: int) -> Callable:
-    """Name, size and sketch of each row's set."""
+def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of the keys that occur more than once."""
+    key, count = np.unique(np.concatenate([NONE, *keys]), return_counts=True)
+    key, count = key[count > 1].view(np.int64), count[count > 1]
+    nothing = [pa.nulls(len(key), t) for t in SUMMARY.types[:5]]
+    return pa.RecordBatch.from_arrays([*nothing, pa.array(key), pa.array(count)], SUMMARY.names)
+
+
+def _summaries(words: int, percent: int) -> Callable:
+    """Name, size and sketch of each row's set, and the slots that occur more than once among HELD slots of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
         for b in batches:
             for at, to, sets, firsts, names in _sets(b["text"], words):
                 ids, marks = (b[c].slice(at, to - at) for c in ("doc_id", "mark"))
+                nothing = [pa.nulls(len(ids), pa.int64())] * 2
                 sketch = pa.array(sketches(sets, firsts), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, marks, pa.array(names), pa.array(np.diff(firsts)), sketch], SUMMARY.names)
+                yield pa.RecordBatch.from_arrays([ids, marks, pa.array(names), pa.array(np.diff(firsts)), sketch, *nothing], SUMMARY.names)
+                _, first = np.unique(names, return_index=True)  # a copy adds nothing
+                keys += [key[np.isin(rows, first)[owner]] for key, _, owner, _, rows, _ in _slots(sets, firsts, percent)]
+                if sum(map(len, keys)) >= HELD:
+                    yield _counted(keys)
+                    keys = []
+        yield _counted(keys)
 
     return run
 
 
-def _signed(words: int, percent: int) -> Callable:
+def common_slots(found: DataFrame) -> np.ndarray:
+    """The keys of slots that very many sets have, sorted: COMMON at most, the most frequent ones.
+
+    A slot is counted where it occurs more than once in a task, so what very many
+    sets have is counted over all documents. Which slots these are decides how much is
+    compared, never what is found.
+    """
+    often = found.where("key is not null").groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") >= OFTEN)
+    rows = often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toArrow()
+    return np.sort(rows["key"].to_numpy().view(np.uint64))
+
+
+def _signed(words: int, percent: int, common: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, sets, firsts, names in _sets(b["text"], words):
-                keys, owners = signatures(sets, firsts, percent)
-                _, first = np.unique(names, return_index=True)  # a copy adds nothing
+                keys, owners = signatures(sets, firsts, percent, common.value)
+                _, first = np.unique(names, return_index=True)
                 keep = np.isin(owners, first)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(names[owners[keep]])], ["key", "name"])
 
@@ -234,25 +278,20 @@ def _measured(percent: int) -> Callable:
 
 
 def _windows(percent: int) -> Callable:
-    """The Voronoi regions that a member enters: its nearest pivot's, and those within the window."""
+    """The Voronoi regions that a member enters: its nearest pivot's (``home``), and those within the window (``near``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, piece, home = [], [], []
+            near, home = [], []
             most, width = b["most"].to_numpy(), b["width"].to_numpy()
-            for i, (x, centers) in enumerate(zip(b["sketch"], b["centers"], strict=True)):
-                x = folded(_bits(x), width[i])
-                apart = np.array([np.bitwise_count(x ^ folded(_bits(c), width[i])).sum() for c in centers], np.int64)
-                near = np.flatnonzero(apart <= apart.min() + 2 * ((100 - percent) * 2 * most[i] // (100 + percent)))
-                at += [i] * len(near)
-                piece += near.tolist()
-                home += (near == apart.argmin()).tolist()
-            rows = b.select(["region", "name", "label", "n", "sketch", "core"]).take(pa.array(at, pa.int64()))
-            core = np.array(home, bool) & rows["core"].to_numpy(zero_copy_only=False)
-            region = vectors.mix(rows["region"].to_numpy().view(np.uint64) + np.array(piece, np.uint64) + np.uint64(1)).view(np.int64)
+            for x, centers, m, w in zip(b["sketch"], b["centers"], most, width, strict=True):
+                x = folded(_bits(x), w)
+                apart = np.array([np.bitwise_count(x ^ folded(_bits(c), w)).sum() for c in centers], np.int64)
+                near.append(np.flatnonzero(apart <= apart.min() + 2 * ((100 - percent) * 2 * m // (100 + percent))).astype(np.int32))
+                home.append(int(apart.argmin()))
+            kept = b.drop_columns(["centers"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(region), *[rows[c] for c in ("name", "label", "n", "sketch")], pa.array(core), b["size"].take(pa.array(at, pa.int64()))],
-                ["region", "name", "label", "n", "sketch", "core", "was"],
+                [*kept.columns, pa.array(near, pa.list_(pa.int32())), pa.array(home, pa.int32())], [*kept.schema.names, "near", "home"]
             )
 
     return run
@@ -337,13 +376,14 @@ def _joined(percent: int) -> Callable:
     return _by_unit(pairs)
 
 
-def regions(df: DataFrame, words: int, percent: int) -> DataFrame:
+def regions(df: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
     """(pivot, name): the documents' sets in the region of each pivot, without the pivot's own.
 
     Least sets are aggregated before they are shuffled, and the join that hands them
     out has its key on both sides, so a slot that very many sets show is split.
     """
-    shown = df.select("text").mapInArrow(_signed(words, percent), "key long, name long")
+    known = df.sparkSession.sparkContext.broadcast(common)
+    shown = df.select("text").mapInArrow(_signed(words, percent, known), "key long, name long")
     pivots = shown.groupBy("key").agg(F.min("name").alias("pivot"), F.max("name").alias("last")).where("pivot <> last")
     return shown.join(pivots.select("key", "pivot"), "key").where("name <> pivot").select("pivot", "name").distinct()
 
@@ -358,7 +398,7 @@ def _packed_sets(df: DataFrame, known: DataFrame, names: DataFrame, words: int)
 def pivot_links(df: DataFrame, met: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): the pivots and documents of ``met`` (pivot, name) that are linked.
 
-    Regions are dealt into units of about BLOCK documents, and each unit is sent its
+    Regions are dealt into units of about LEAF documents, and each unit is sent its
     pivot's set once.
     """
     bits = known.select("name", "n", "sketch")
@@ -367,7 +407,7 @@ def pivot_links(df: DataFrame, met: DataFrame, known: DataFrame, words: int, per
     near = near.where(percent * F.greatest("n", "center_n") <= 100 * F.least("n", "center_n")).select("pivot", "name")
     close = cut(near.join(bits, "name").join(center, "pivot").mapInArrow(_close(percent), "pivot long, name long"))
     packed = _packed_sets(df, known, close.select("name").unionByName(close.select(F.col("pivot").alias("name"))), words)
-    sizes = cut(close.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("units")).select((-F.col("pivot")).alias("key"), "units"))
+    sizes = cut(close.groupBy("pivot").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("units")).select((-F.col("pivot")).alias("key"), "units"))
     dealt = join_small(close.withColumn("key", -F.col("pivot")), sizes, ["key"]).select(
         "pivot", "name", F.pmod(F.xxhash64("name"), F.col("units")).cast("int").alias("part")
     )
@@ -377,66 +417,73 @@ def pivot_links(df: DataFrame, met: DataFrame, known: DataFrame, words: int, per
     return cut(units.mapInArrow(_measured(percent), "a long, b long").distinct())
 
 
+MEMBER = ["region", "name", "label", "n", "sketch", "core"]
+UNIT = ["unit", *MEMBER[1:], "part"]
+
+
 def _with_sizes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members of regions that are not all connected, with the figures of their region; and these figures."""
     figures = members.groupBy("region").agg(
-        F.count("*").alias("size"), F.max("was").alias("before"), F.min("label").alias("low"), F.max("label").alias("high"),
-        F.max("core").alias("lived"), F.max("n").alias("most"), (F.min(F.octet_length("sketch")) / 8).cast("long").alias("width"),
-        F.min(F.struct(F.xxhash64("name"), "name"))["name"].alias("first"),
+        F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("was").alias("before"), F.min("label").alias("low"),
+        F.max("label").alias("high"), F.max("core").alias("lived"), F.max("n").alias("most"),
+        (F.min(F.octet_length("sketch")) / 8).cast("long").alias("width"), F.min(F.struct(F.xxhash64("name"), "name"))["name"].alias("first"),
     ).where("low <> high and lived").drop("low", "high", "lived")
     figures = stored(figures.withColumn("key", F.hash("region")))
     return join_small(members.withColumn("key", F.hash("region")), figures, ["key", "region"]), figures
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Units of regions that pivots do not divide: blocks of bounded size, each against each."""
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / WEIGHT)).cast("int")
+    dealt = rows.withColumns({"of": blocks, "block": F.pmod(F.xxhash64("name"), blocks).cast("int")})
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    part = F.when(F.col("block") == F.col("with"), F.col("name")).otherwise(F.col("block").cast("long"))
+    unit = F.xxhash64("region", F.least("block", "with"), F.greatest("block", "with"))
+    return dealt.withColumns({"unit": unit, "part": part}).select(*UNIT)
+
+
 def _units(members: DataFrame, percent: int) -> DataFrame:
     """(unit, name, label, n, sketch, core, part): pieces of the regions of ``members`` that are compared as they are.
 
     Two linked documents of a region, of different labels, are in a unit together,
     in different parts and at least one of them at home.
     """
-    unit = ["unit", "name", "label", "n", "sketch", "core", "part"]
-    small, figures = _with_sizes(members.withColumns({"core": F.lit(True), "was": F.lit(None).cast("long")}))
-    out = small.where(F.col("size") <= LEAF).withColumns({"unit": F.col("region"), "part": F.col("name")}).select(*unit)
+    leaf = lambda rows: rows.where(F.col("size") <= LEAF).withColumns({"unit": F.col("region"), "part": F.col("name")}).select(*UNIT)
+    rows, figures = _with_sizes(members.withColumns({"core": F.lit(True), "was": F.lit(None).cast("long")}))
+    out = leaf(rows)
     if figures.where(F.col("size") > LEAF).isEmpty():
         return out
     # bands of size: the sizes of linked sets are within a factor of 100 / percent
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9)
-    rows = small.where(F.col("size") > LEAF).withColumn("band", F.explode(F.array(band, band + 1)))
-    rows = rows.select(F.xxhash64("region", "band").alias("region"), "name", "label", "n", "sketch", (F.col("band") == band).alias("core"), F.col("was"))
+    rows = rows.where(F.col("size") > LEAF).withColumn("band", F.explode(F.array(band, band + 1)))
+    rows = rows.withColumns({"region": F.xxhash64("region", "band"), "core": F.col("band") == band}).select(*MEMBER, "was")
     while True:
         rows, figures = _with_sizes(stored(rows))
-        out = out.unionByName(rows.where(F.col("size") <= LEAF).withColumns({"unit": F.col("region"), "part": F.col("name")}).select(*unit))
-        large = rows.where(F.col("size") > LEAF)
         whole = F.col("before").isNotNull() & (F.col("size") > DIVIDED * F.col("before"))
-        # not divided by its pivots: blocks, each against each
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = large.where(whole).withColumns({"of": blocks, "block": F.pmod(F.xxhash64("name"), blocks).cast("int")})
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        out = out.unionByName(
-            dealt.withColumns(
-                {
-                    "unit": F.xxhash64("region", F.least("block", "with"), F.greatest("block", "with")),
-                    "part": F.when(F.col("block") == F.col("with"), F.col("name")).otherwise(F.col("block").cast("long")),
-                }
-            ).select(*unit)
-        )
+        large = rows.where(F.col("size") > LEAF)
+        out = out.unionByName(leaf(rows)).unionByName(_blocks(large.where(whole)))
         if figures.where((F.col("size") > LEAF) & ~whole).isEmpty():
             return out
         large = large.where(~whole)
         drawn = (F.pmod(F.xxhash64(F.lit(7), "region", "name"), F.col("size")) < PIVOTS) | (F.col("name") == F.col("first"))
         centers = large.where(drawn).groupBy("region").agg(F.collect_list("sketch").alias("centers"))
-        rows = large.join(centers, "region").select("region", "name", "label", "n", "sketch", "core", "size", "most", "width", "centers")
-        rows = rows.mapInArrow(
-            _windows(percent), "region long, name long, label long, n long, sketch binary, core boolean, was long"
-        )
-
-
-def links(df: DataFrame, summary: DataFrame, words: int, percent: int) -> DataFrame:
+        large = large.select(*MEMBER, "size", "weight", "most", "width").join(centers, "region")
+        ddl = "region long, name long, label long, n long, sketch binary, core boolean, size long, weight long, most long, width long"
+        placed = stored(large.mapInArrow(_windows(percent), f"{ddl}, near array<int>, home int"))
+        spread = stored(placed.groupBy("region").agg((F.avg(F.size("near")) <= WINDOWS).alias("divides")).withColumn("key", F.hash("region")))
+        placed = join_small(placed.withColumn("key", F.hash("region")), spread, ["key", "region"])
+        out = out.unionByName(_blocks(placed.where("not divides")))
+        rows = placed.where("divides").withColumn("piece", F.explode("near")).withColumns(
+            {"region": F.xxhash64("region", "piece"), "core": F.col("core") & (F.col("piece") == F.col("home")), "was": F.col("size")}
+        ).select(*MEMBER, "was")
+
+
+def links(df: DataFrame, summary: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
     """(a, b): links that connect the set names of ``summary`` (doc_id, name, n, sketch) as all links do.
 
     Sets travel only where sketches allow a link.
     """
-    met = cut(regions(df, words, percent))
+    met = cut(regions(df, common, words, percent))
     names = met.select("name").unionByName(met.select(F.col("pivot").alias("name"))).distinct()
     known = cut(
         summary.join(names, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -463,9 +510,10 @@ def _grouped(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     """(doc_id, mark, n, label) of rows whose set takes part, and (doc_id, mark, n) of the others."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    summary = cut(marked.mapInArrow(_summaries(words), SUMMARY_DDL))
+    found = cut(marked.mapInArrow(_summaries(words, percent), SUMMARY_DDL))
+    common, summary = common_slots(found), found.where("name is not null")
     whole = summary.where("doc_id is not null and n > 0")
-    found = components(links(docs.where("doc_id is not null"), whole, words, percent))
+    found = components(links(docs.where("doc_id is not null"), whole, common, words, percent))
     found = found.select((-F.col("node")).alias("key"), "label")
     grouped = whole.withColumn("key", -F.col("name")).join(found, "key", "left").select("doc_id", "mark", "n", F.coalesce("label", "name").alias("label"))
     return cut(grouped), summary.where("doc_id is null or n = 0").select("doc_id", "mark", "n")

@@ -128,7 +128,10 @@ def test_linked_sets_show_a_slot_in_common():
                 y = np.concatenate([x[lost:], new])
                 if 100 * (n - lost) >= percent * (n + len(new)) and (lost or len(new)):
                     sets = np.concatenate([np.sort(x), np.sort(y)])
-                    keys, row = ngram_join.signatures(sets, np.array([0, n, len(sets)]), percent)
+                    firsts = np.array([0, n, len(sets)])
+                    keys, row = ngram_join.signatures(sets, firsts, percent)
+                    assert set(keys[row == 0]) & set(keys[row == 1]), (n, percent, lost, len(new))
+                    keys, row = ngram_join.signatures(sets, firsts, percent, np.unique(keys[rng.random(len(keys)) < 0.3]))
                     assert set(keys[row == 0]) & set(keys[row == 1]), (n, percent, lost, len(new))
 
 
