@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from loamline.functions.urls import locale_of, part, without_locale
 
-# Words of paths that lead away from content.
-JUNK = "login signup signin register privacy terms cookie cart account share tag tags category author feed".split()
+# Words of paths that lead to content, and away from it.
+CONTENT = "doc docs guide tutorial api reference article blog post learn manual help spec".split()
+JUNK = "login signin sign-in signup sign-up register submit cart checkout account admin logout auth password settings preferences".split()
 
 
 def link_score(url: Column, label: Column, focus: list[str]) -> Column:
-    """Twice the share of focus words in address or label, half a point per word of the path and one off per junk word."""
-    words = F.filter(F.split(F.lower(part(url, 3)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    text = F.lower(F.concat_ws(" ", url, label))
-    hits = sum((text.contains(f).cast("int") for f in focus[1:]), text.contains(focus[0]).cast("int")) if focus else F.lit(0)
-    junk = F.size(F.filter(words, lambda w: w.isin(JUNK)))
-    content = F.size(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(JUNK)))
-    return 2.0 * hits / max(1, len(focus)) + 0.5 * content - junk
+    """Twice the share of focus words in the label and once that in the path, half a point per kind of content word
+    that the path has and one off per kind of junk word."""
+    path = F.translate(F.lower(part(url, 3)), "/-_", "   ")
+    words = F.array_distinct(F.split(path, r"\s+"))
+    share = lambda c: sum((c.contains(f).cast("int") for f in focus), F.lit(0)) / F.lit(max(1, len(focus)))
+    of = lambda kinds: F.size(F.array_intersect(words, F.array(*map(F.lit, kinds))))
+    return 2.0 * share(F.lower(F.coalesce(label, F.lit("")))) + share(path) + 0.5 * of(CONTENT) - of(JUNK)
 
 
 def map_order(rows: DataFrame, score: Column) -> DataFrame:
@@ -32,7 +33,7 @@ def map_order(rows: DataFrame, score: Column) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, cost: Column, budget: int) -> DataFrame:
-    """The first rows of each site, by place, whose serialised sizes add up to the budget at most; ``next`` resumes."""
+    """The first rows of each site, by place, whose serialised sizes add up to the budget at most."""
     rows = rows.withColumn("cost", cost)
     upto = Window.partitionBy("site").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("spent", F.sum("cost").over(upto)).where(F.col("spent") <= budget)

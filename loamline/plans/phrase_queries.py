@@ -11,13 +11,13 @@ from loamline.plans.url_queries import host, p
 PACK = Pack()
 
 _LEADS = ["how to ", "latest arxiv ", "what is ", "compare ", "", "debug the "]
-_Q = "(CASE turn % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_LEADS)) + " END || substr(text, 1, 40) || CASE WHEN turn % 2 = 0 THEN ' site:Docs.example -site:x.example' ELSE '' END)"
+_Q = "(CASE turn % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_LEADS)) + " END || text || CASE WHEN turn % 2 = 0 THEN ' site:Docs.example -site:x.example' ELSE '' END)"
 _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{r}') THEN '{n}'" for n, r in phrases.INTENTS) + " ELSE 'general' END"
 
 
 def turns(spark, sf_dir):
     lead = F.coalesce(*[F.when(F.col("turn") % 6 == k, F.lit(v)) for k, v in enumerate(_LEADS)])
-    q = F.concat(lead, F.substring("text", 1, 40), F.when(F.col("turn") % 2 == 0, " site:Docs.example -site:x.example").otherwise(""))
+    q = F.concat(lead, F.col("text"), F.when(F.col("turn") % 2 == 0, " site:Docs.example -site:x.example").otherwise(""))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", q.alias("q"))
 
 
@@ -67,7 +67,7 @@ def source_kinds(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", phrases.source_kind(u).alias("kind"))
 
 
-@PACK.query("SELECT page_id, 'see https://***@h.example/?api_key=***&id=' || page_id AS text, CASE WHEN length(html) < 1024 THEN length(html) || ' B' ELSE printf('%.1f KB', length(html) / 1024.0) END AS size FROM pages WHERE length(html) < 900000")
+@PACK.query("SELECT page_id, 'see https://***@h.example/?api_key=***&id=' || page_id AS text, CASE WHEN length(html) < 1024 THEN length(html) || ' B' WHEN length(html) < 1048576 THEN printf('%.1f KB', length(html) / 1024.0) ELSE printf('%.1f MB', length(html) / 1048576.0) END AS size FROM pages")
 def redaction_and_sizes(spark, sf_dir):
     text = F.concat(F.lit("see https://me:pw@h.example/?api_key=abc&id="), F.col("page_id").cast("string"))
-    return read(spark, sf_dir, "pages").where(F.length("html") < 900000).select("page_id", phrases.redacted(text).alias("text"), phrases.human_size(F.length("html")).alias("size"))
+    return read(spark, sf_dir, "pages").select("page_id", phrases.redacted(text).alias("text"), phrases.human_size(F.length("html")).alias("size"))

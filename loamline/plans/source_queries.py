@@ -22,7 +22,7 @@ def _json_query(dialect: str):
 
     def run(spark, sf_dir):
         row = F.struct(
-            F.substring("text", 1, 30).alias(title), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")).alias(url), F.substring("text", 1, 120).alias(snippet)
+            F.concat(F.col("source"), F.lit(" "), F.col("doc_id").cast("string")).alias(title), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")).alias(url), F.col("text").alias(snippet)
         )
         body = F.array(row, F.struct(F.lit(None).cast("string").alias(title), F.lit("https://y.example").alias(url), F.lit("z").alias(snippet)))
         for name in reversed(path.split(".")):
@@ -32,7 +32,7 @@ def _json_query(dialect: str):
 
     run.__name__ = f"json_results_{dialect}"
     PACK.query(
-        """SELECT doc_id, 0 AS place, substr(text, 1, 30) AS title, 'https://x.example/' || doc_id AS url, substr(text, 1, 120) AS snippet FROM documents WHERE doc_id % 9 > 0
+        """SELECT doc_id, 0 AS place, source || ' ' || doc_id AS title, 'https://x.example/' || doc_id AS url, text AS snippet FROM documents WHERE doc_id % 9 > 0
         UNION ALL SELECT doc_id, 1, NULL, 'https://y.example', 'z' FROM documents WHERE doc_id % 9 > 0"""
     )(run)
 
@@ -41,10 +41,10 @@ for _dialect in feeds.DIALECTS:
     _json_query(_dialect)
 
 
-@PACK.query("SELECT doc_id, substr(array_to_string(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:80], ' '), 1, 400) AS abstract FROM documents".replace("\\\\", "\\"))
+@PACK.query("SELECT doc_id, substr(array_to_string(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), ' '), 1, 400) AS abstract FROM documents".replace("\\\\", "\\"))
 def inverted_abstracts(spark, sf_dir):
     """Texts as inverted indexes, and back."""
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 80)
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     rows = docs(spark, sf_dir).select("doc_id", F.posexplode(words).alias("p", "w"))
     index = rows.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("l")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "l"))).alias("index"))
     raw = index.select("doc_id", F.to_json("index").alias("body"))
@@ -57,13 +57,13 @@ def _escaped(c):
     return c
 
 
-_PLAIN = r"regexp_replace(substr(text, 1, 700), '[^A-Za-z0-9 .,]+', ' ', 'g')"
+_PLAIN = r"regexp_replace(text, '[^A-Za-z0-9 .,]+', ' ', 'g')"
 
 
 def _feed_bodies(spark, sf_dir):
     """A feed of two dated items and an undated one per document."""
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("timestamp"), "d MMM yyyy HH:mm:ss")
-    text = _escaped(F.regexp_replace(F.substring("text", 1, 700), "[^A-Za-z0-9 .,]+", " "))
+    text = _escaped(F.regexp_replace("text", "[^A-Za-z0-9 .,]+", " "))
     item = lambda t, d, s: F.concat(F.lit(f"<item><title>{t}</title><link>https://f.example/{t}</link><description>x"), s, F.lit("</description>"), d, F.lit("</item>"))
     body = F.concat(
         F.lit("<rss><channel><title>T</title>"), item("undated", F.lit(""), F.lit("short")), item("old", F.lit("<pubDate>Mon, 1 Jan 2001 00:00:00 +0000</pubDate>"), F.lit("y")),
@@ -108,10 +108,11 @@ def sitemap_urls(spark, sf_dir):
     return feeds.sitemap_urls(_sitemaps(spark, sf_dir), "site", "body")
 
 
-_WORDS = f"list_filter(string_split_regex(lower({p(3)}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')".replace("\\\\", "\\")
-_JUNK = ", ".join(repr(w) for w in crawl.JUNK)
-_SCORE = f"""(2.0 * (CASE WHEN contains(lower(url || ' '), 'fr') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url || ' '), '7') THEN 1 ELSE 0 END) / 2
-  + 0.5 * len(list_filter({_WORDS}, lambda w: length(w) > 2 AND w NOT IN ({_JUNK}))) - len(list_filter({_WORDS}, lambda w: w IN ({_JUNK}))))::DOUBLE"""
+_PATH = f"translate(lower({p(3)}), '/-_', '   ')"
+_KINDS = lambda kinds: f"len(list_intersect(string_split_regex({_PATH}, '\\s+'), {kinds!r}))"
+_SCORE = f"""(2.0 * (CASE WHEN contains('page ' || pos, 'fr') THEN 1 ELSE 0 END + CASE WHEN contains('page ' || pos, '7') THEN 1 ELSE 0 END) / 2
+  + (CASE WHEN contains({_PATH}, 'fr') THEN 1 ELSE 0 END + CASE WHEN contains({_PATH}, '7') THEN 1 ELSE 0 END) / 2.0
+  + 0.5 * {_KINDS(crawl.CONTENT)} - {_KINDS(crawl.JUNK)})::DOUBLE"""
 _ORDERED = f"""SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY late, score DESC, lastmod DESC NULLS LAST, pos) AS INTEGER) AS place FROM (
   SELECT *, regexp_extract({p(3)}, '^/([a-z]{{2}}(-[A-Z]{{2}})?)(/|$)', 1) <> '' AND row_number() OVER (PARTITION BY site, regexp_replace({p(3)}, '^/[a-z]{{2}}(-[A-Z]{{2}})?(/|$)', '/') ORDER BY score DESC, lastmod DESC NULLS LAST, pos) > 3 AS late
   FROM (SELECT *, {_SCORE} AS score FROM {_MAP}))"""
@@ -119,7 +120,7 @@ _ORDERED = f"""SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY late
 
 def _ordered(spark, sf_dir):
     rows = feeds.sitemap_urls(_sitemaps(spark, sf_dir), "site", "body").select("site", F.col("place").alias("pos"), F.col("loc").alias("url"), "lastmod")
-    return crawl.map_order(rows, crawl.link_score(F.col("url"), F.lit(""), ["fr", "7"]))
+    return crawl.map_order(rows, crawl.link_score(F.col("url"), F.concat(F.lit("Page "), F.col("pos").cast("string")), ["fr", "7"]))
 
 
 @PACK.query(f"SELECT site, pos, place, score FROM ({_ORDERED})")
@@ -205,7 +206,7 @@ def _graph(spark, sf_dir):
     """Links among events: each leads to three others of its site."""
     rows = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("site"), F.col("event_id").alias("source"), "value")
     to = F.explode(F.array(*[F.pmod(F.col("source") * k + 1, F.lit(1000)) for k in (2, 3, 7)]))
-    return rows.where("source < 1000").select("site", "source", to.alias("target"), F.round("value", 2).alias("score"))
+    return rows.select("site", "source", to.alias("target"), F.round("value", 2).alias("score"))
 
 
 @PACK.query()
