@@ -1,11 +1,14 @@
 """Exact top-k search by multi-resolution segment statistics.
 
-Vectors are cut into segments; a segment's mean and deviation bound what it can
-add to an inner product (Cauchy-Schwarz: the product of the means times the
-length plus the product of the deviations), and so bound the distance from
-below. The bounds are taken from coarse to fine. A candidate whose bound at any
-level is less than the k-th best score known for a query is out; the survivors'
-scores are computed exactly, in integers.
+Vectors are turned into an orthogonal basis of the candidates, in which the first
+coordinates differ most and inner products stay the same, and cut into segments there.
+A segment's mean and deviation bound what it can add to an inner product
+(Cauchy-Schwarz: the product of the means times the length plus the product of
+the deviations), and so bound the distance from below; a segment of one coordinate is
+exact. From coarse to fine, a growing head of the vector falls into segments of
+one coordinate each and its rest is one long segment. The best by half of the coordinates
+give a first k-th best score for each query; a candidate whose bound at any level
+is less is out, and only the survivors' scores are computed exactly, in integers.
 
 Queries and candidates are packed into blocks, every block of queries meets
 every block of candidates in a unit of its own, and the k best of each unit
@@ -29,10 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 QUERIES, CANDIDATES = 1024, 4096
-#: Candidates whose exact scores give a first bound, and the share of pairs above which products are taken all at once.
-FIRST, DENSE = 1024, 0.02
-#: Segments of a vector at each level.
-LEVELS = (1, 4, 16)
+#: Shares of the coordinates that are segments of their own at each level.
+LEVELS = (0.0, 0.25, 0.5, 0.75, 0.875)
 
 
 def _valid(df: DataFrame, scale: float) -> DataFrame:
@@ -80,13 +81,16 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], kind).reshape(-1, row["d"])
 
 
-def _features(x: np.ndarray, parts: int) -> np.ndarray:
-    """Scaled means and deviations of the segments: their inner products are the bounds."""
-    edges = np.unique(np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int))
-    length = np.diff(edges)
-    mean = np.add.reduceat(x, edges[:-1], axis=1) / length
-    apart = x - np.repeat(mean, length, axis=1)
-    return np.hstack([mean * np.sqrt(length), np.sqrt(np.add.reduceat(apart * apart, edges[:-1], axis=1))])
+def _basis(c: np.ndarray) -> np.ndarray:
+    """An orthogonal basis (columns) in which the coordinates of ``c`` are sorted by their size."""
+    return np.linalg.eigh(c.T @ c)[1][:, ::-1]
+
+
+def _rest(x: np.ndarray, head: int) -> np.ndarray:
+    """Scaled mean and deviation of the segment after the first ``head`` coordinates: their inner products are its bounds."""
+    mean = x[:, head:].mean(axis=1)
+    apart = x[:, head:] - mean[:, None]
+    return np.stack([mean * np.sqrt(x.shape[1] - head), np.sqrt(np.square(apart).sum(axis=1))], axis=1)
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -98,53 +102,54 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     )
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """All inner products of integers; by floating-point products where these are exact."""
-    top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
+def _row_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of one integer vector with others; by floating-point products where these are exact."""
+    top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * len(q)
     if top < 2**53:
-        return q.astype(np.float64) @ c.astype(np.float64).T
-    return q.astype(np.int64 if top < 2**63 else object) @ c.astype(np.int64 if top < 2**63 else object).T
+        return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    return _exact(np.broadcast_to(q, c.shape), c)
 
 
 def search(
-    qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS
+    qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int, levels: tuple[float, ...] = LEVELS
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(query rows, candidate rows, scores) of the k best of each query, and the pairs that each level left."""
     x, y = q.astype(np.float64), c.astype(np.float64)
-    own = qids[:, None] == cids[None, :]
-    bound = _features(x, levels[0]) @ _features(y, levels[0]).T
-    bound[own] = -np.inf
-    # a first k-th best score: exact scores of some candidates
-    some = min(len(cids), max(FIRST, 4 * k))
-    first = np.where(own[:, :some], -np.inf, _scores(q, c[:some]).astype(np.float64))
-    least = np.partition(first, some - k, axis=1)[:, some - k] if some >= k else np.full(len(qids), -np.inf)
     # rounding of the bounds never loses a candidate
     slack = 1e-9 * (1 + np.sqrt(np.square(x).sum(axis=1).max(initial=0) * np.square(y).sum(axis=1).max(initial=0)))
-    alive = (bound >= least[:, None] - slack) & ~own
-    left = [int(alive.sum())]
-    for parts in levels[1:]:
-        fx, fy = _features(x, parts), _features(y, parts)
-        if left[-1] > DENSE * alive.size:
-            alive &= fx @ fy.T >= least[:, None] - slack
-        else:
-            i, j = np.nonzero(alive)
-            out = np.einsum("ij,ij->i", fx[i], fy[j]) < least[i] - slack
-            alive[i[out], j[out]] = False
+    turn = _basis(y)
+    x, y = x @ turn, y @ turn
+    alive = qids[:, None] != cids[None, :]
+    # a first k-th best score: exact scores of the candidates that are best by half of the coordinates
+    half, some = max(1, x.shape[1] // 2), min(len(cids), 4 * k + 1)
+    guess = np.where(alive, x[:, :half] @ y[:, :half].T, -np.inf)
+    likely = np.argpartition(guess, len(cids) - some, axis=1)[:, len(cids) - some :]
+    least = np.full(len(qids), -np.inf)
+    for i, at in enumerate(likely):
+        scores = np.sort(_row_scores(q[i], c[at[alive[i, at]]]).astype(np.float64))
+        if len(scores) >= k:
+            least[i] = scores[-k]
+    left, head, known = [], 0, np.zeros(alive.shape)
+    for share in levels:
+        more = min(x.shape[1] - 1, int(share * x.shape[1]))
+        known += x[:, head:more] @ y[:, head:more].T
+        head = more
+        alive &= known + _rest(x, head) @ _rest(y, head).T >= least[:, None] - slack
         left.append(int(alive.sum()))
-    if left[-1] > DENSE * alive.size:  # many survivors: all products at once are cheaper than theirs one by one
-        every = _scores(q, c)
-        i, j = np.nonzero(alive & (every >= np.where(np.isfinite(least), least, -(2.0**62))[:, None]))
-        return _best(qids, cids, i, j, every[i, j], k, left)
-    i, j = np.nonzero(alive)
-    scores = np.concatenate([_exact(q[i[a : a + 500_000]], c[j[a : a + 500_000]]) for a in range(0, max(1, len(i)), 500_000)])
-    keep = scores >= np.where(np.isfinite(least[i]), least[i], -np.inf)
-    i, j, scores = i[keep], j[keep], scores[keep]
+    found = []
+    for i, row in enumerate(alive):
+        at = np.flatnonzero(row)
+        scores = _row_scores(q[i], c[at])
+        keep = scores.astype(np.float64) >= least[i]
+        found.append((np.full(int(keep.sum()), i), at[keep], scores[keep]))
+    i, j, scores = (np.concatenate([f[n] for f in found]) for n in range(3))
     return _best(qids, cids, i, j, scores, k, left)
 
 
 def _best(qids, cids, i, j, scores, k: int, left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """The k best of the pairs of each query, ties to the smaller candidate id."""
-    order = np.lexsort((cids[j], -scores.astype(np.float64) if scores.dtype == object else -scores, i))
+    rank = np.unique(scores, return_inverse=True)[1] if scores.dtype == object else scores
+    order = np.lexsort((cids[j], -rank, i))
     i, j, scores = i[order], j[order], scores[order]
     best = np.arange(len(i)) - np.searchsorted(i, i) < k
     return i[best], j[best], scores[best], left

@@ -112,6 +112,28 @@ PAGE = (
 )
 
 
+def test_where_the_library_differs_it_is_right(library, make_docs):
+    pa = pieces.pa
+
+    class Wrong(pieces.Encoder):
+        def run(self, texts):
+            for ids, decoded in super().run(texts):
+                yield ids + (",5" if "x" in decoded else ""), decoded
+
+    texts = [f"some words {i}" + " x" * (i % 3 == 0) for i in range(200)] + [None, "the longest of them all " * 9 + "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    run = pieces._batches(queries.piece_model(), [], lambda ids, decoded: (ids, decoded), [pa.string()] * 2, ["ids", "decoded"])
+    whole = pieces.Encoder
+    try:
+        pieces.Encoder = Wrong
+        got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    finally:
+        pieces.Encoder = whole
+    for t, r in zip(texts, got, strict=True):
+        ids = library.encode(t or "")
+        assert r == {"ids": ",".join(map(str, ids)), "decoded": library.decode(ids)}
+
+
 def page(n, more=""):
     return PAGE.format(n=n, menu="".join(f"<li><a href='/{k}'>m{k}{n}</a></li>" for k in range(n + 2)), more=more)
 
@@ -178,16 +200,34 @@ def test_top_k_equals_brute_force(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
+    clash = df.selectExpr("vec_id", "embedding", "'x' as score", "0 as rank", "'q' as query_id", "1 as c", "2 as side")
+    assert sorted(tuple(r) for r in topk.top_k(clash, k=7).collect()) == sorted(want)
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), k=7).collect()
     assert [(r["rank"], r["query_id"]) for r in few] == [(1, 0), (2, 0)]
 
 
-def test_levels_leave_fewer_pairs():
+def test_levels_leave_fewer_pairs(spark):
     rng = np.random.default_rng(1)
     centers = np.repeat(rng.normal(size=(20, 16)) * 200, 4, axis=1)
     c = (centers[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 64)) * 10).astype(np.int64)
     left = topk.search(np.arange(10) - 10, c[:10], np.arange(3000), c, 5)[3]
-    assert left == sorted(left, reverse=True) and left[-1] < left[0]
+    assert left == sorted(left, reverse=True) and left[-1] < 0.05 * 10 * 3000
+    rows = topk._valid(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 64.0).collect()
+    c, ids = np.array([r["vector"] for r in rows]), np.array([r["vec_id"] for r in rows])
+    asked = ids % 20 == 0
+    left = topk.search(ids[asked], c[asked], ids, c, 20)[3]
+    assert left == sorted(left, reverse=True) and left[-1] < 0.25 * asked.sum() * len(ids), left
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 64])
+@pytest.mark.parametrize("top", [3, 2**20, 2**40])
+def test_search_of_any_size(size, top):
+    rng = np.random.default_rng(size)
+    c = rng.integers(-top, top, (200, size))
+    i, j, scores, _ = topk.search(np.arange(5), c[:5], np.arange(200), c, 3)
+    for n in range(5):
+        every = sorted((-sum(int(a) * int(b) for a, b in zip(c[n], c[m], strict=True)), m) for m in range(200) if m != n)[:3]
+        assert [(-int(s), int(m)) for m, s in zip(j[i == n], scores[i == n], strict=True)] == every
 
 
 # -- toxicity
