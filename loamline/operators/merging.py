@@ -42,3 +42,18 @@ def newest_variant(rows: DataFrame, key: str, when: str) -> DataFrame:
         {"nth": F.row_number().over(own.orderBy(F.col(when).desc(), F.col("position").desc())), "variants": F.count("*").over(own), "first": F.min("position").over(own)}
     )
     return rows.where("nth = 1").drop("nth")
+
+
+def best_distinct(rows: DataFrame, side: str, value: str, score: str, n: int) -> DataFrame:
+    """side, value, place: the ``n`` distinct values of each side with the best scores; ties to the lesser value."""
+    best = rows.where(F.col(value).isNotNull()).groupBy(side, value).agg(F.max(score).alias("__score"))
+    place = F.row_number().over(Window.partitionBy(side).orderBy(F.col("__score").desc(), value))
+    return best.withColumn("place", place).where(F.col("place") <= n).select(side, value, "place")
+
+
+def capped(rows: DataFrame, source: str, order: list, date: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each source (0 for all) with ``total`` and ``undated``, counts of all that it has."""
+    counts = rows.groupBy(source).agg(F.count("*").alias("total"), F.count_if(F.col(date).isNull()).alias("undated"))
+    place = F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    first = rows.withColumn("__place", place).where((F.col("__place") <= n) | F.lit(n == 0)).drop("__place")
+    return first.join(counts, source)
