@@ -175,6 +175,19 @@ def test_long_bodies_are_aligned_to_their_end():
     assert place.template == ["Same line"] and text.startswith("Only B") and text.endswith("text 949 of B")
 
 
+def test_sections_of_an_article_stay_whatever_their_names_share(spark):
+    kept = ["related-work", "search-algorithm", "social-history", "login-flow-explained", "menu-planning"]
+    gone = ["related", "related-posts", "cookie-banner", "comment-list", "share-buttons", "ad ad-box", "newsletter"]
+    inner = "".join(f"<div class='{c}'>Text {c}.</div>" for c in [*kept, *gone])
+    html = f"<html><body><nav>Home</nav><article><h1>T</h1><p>Keep one.</p>{inner}</article></body></html>"
+    df = spark.createDataFrame([(1, "https://a.example/x", html), (2, "https://a.example/empty", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(df).collect()}
+    assert got == {1: "T Keep one. " + " ".join(f"Text {c}." for c in kept), 2: ""}
+    assert wrappers.extract_pages(df.where("page_id < 0")).count() == 0
+    clash = df.selectExpr("*", "'x' as text", "1 as n_chars", "'h' as host")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract_pages(clash).collect()} == got
+
+
 def test_wrappers_are_union_free_expressions():
     wrapper = wrappers.infer([page(1), page(2, "<p>x</p><table><tr><td>1</td></tr></table>"), page(0)])
     text = wrapper.expression()
