@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import cut, join_small, stored
+from .common import cut, join_small, returning_memory, stored
 from .components import components
 
 #: Members of a region that are compared without dividing it; and rows, and shingles, in a block of a region that pivots do not divide.
@@ -61,7 +61,7 @@ PIVOTS, WINDOWS, DIVIDED = 8, 3, 0.7
 #: Slots over the shingles that a linked set can differ in.
 SLACK = 1.25
 #: Slots that a task counts at a time; sets of a slot from which it counts as common; and common slots that are kept (8 bytes each).
-HELD, OFTEN, COMMON = 4_000_000, 64, 1 << 20
+HELD, OFTEN, COMMON = 1_000_000, 64, 1 << 20
 SUMMARY = pa.schema({"doc_id": pa.int64(), "mark": pa.int64(), "name": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "key": pa.int64(), "count": pa.int64()})
 SUMMARY_DDL = "doc_id long, mark long, name long, n long, sketch binary, key long, count long"
 
@@ -383,7 +383,7 @@ def regions(df: DataFrame, common: np.ndarray, words: int, percent: int) -> Data
     out has its key on both sides, so a slot that very many sets show is split.
     """
     known = df.sparkSession.sparkContext.broadcast(common)
-    shown = df.select("text").mapInArrow(_signed(words, percent, known), "key long, name long")
+    shown = df.select("text").mapInArrow(returning_memory(_signed(words, percent, known)), "key long, name long")
     pivots = shown.groupBy("key").agg(F.min("name").alias("pivot"), F.max("name").alias("last")).where("pivot <> last")
     return shown.join(pivots.select("key", "pivot"), "key").where("name <> pivot").select("pivot", "name").distinct()
 
@@ -392,7 +392,7 @@ def _packed_sets(df: DataFrame, known: DataFrame, names: DataFrame, words: int)
     """(name, shingles) of the sets ``names``; ``known`` (name, doc_id) says where they are."""
     place = cut(known.join(names.distinct(), "name").select("doc_id", "name"))
     texts = join_small(df.select("doc_id", "text"), place, ["doc_id"]).select("text", "name")
-    return cut(texts.mapInArrow(_packed(words), "name long, shingles binary").dropDuplicates(["name"]))
+    return cut(texts.mapInArrow(returning_memory(_packed(words)), "name long, shingles binary").dropDuplicates(["name"]))
 
 
 def pivot_links(df: DataFrame, met: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
@@ -405,7 +405,7 @@ def pivot_links(df: DataFrame, met: DataFrame, known: DataFrame, words: int, per
     center = known.select(F.col("name").alias("pivot"), F.col("n").alias("center_n"), F.col("sketch").alias("center"))
     near = met.join(known.select("name", "n"), "name").join(center.drop("center"), "pivot")
     near = near.where(percent * F.greatest("n", "center_n") <= 100 * F.least("n", "center_n")).select("pivot", "name")
-    close = cut(near.join(bits, "name").join(center, "pivot").mapInArrow(_close(percent), "pivot long, name long"))
+    close = cut(near.join(bits, "name").join(center, "pivot").mapInArrow(returning_memory(_close(percent)), "pivot long, name long"))
     packed = _packed_sets(df, known, close.select("name").unionByName(close.select(F.col("pivot").alias("name"))), words)
     sizes = cut(close.groupBy("pivot").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("units")).select((-F.col("pivot")).alias("key"), "units"))
     dealt = join_small(close.withColumn("key", -F.col("pivot")), sizes, ["key"]).select(
@@ -414,7 +414,7 @@ def pivot_links(df: DataFrame, met: DataFrame, known: DataFrame, words: int, per
     own = sizes.select((-F.col("key")).alias("pivot"), (-F.col("key")).alias("name"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("part"))
     units = dealt.unionByName(own).join(packed, "name").withColumn("unit", F.xxhash64("pivot", "part"))
     units = units.repartition("unit").sortWithinPartitions("unit").select("unit", "pivot", "name", "shingles")
-    return cut(units.mapInArrow(_measured(percent), "a long, b long").distinct())
+    return cut(units.mapInArrow(returning_memory(_measured(percent)), "a long, b long").distinct())
 
 
 MEMBER = ["region", "name", "label", "n", "sketch", "core"]
@@ -469,7 +469,7 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
         centers = large.where(drawn).groupBy("region").agg(F.collect_list("sketch").alias("centers"))
         large = large.select(*MEMBER, "size", "weight", "most", "width").join(centers, "region")
         ddl = "region long, name long, label long, n long, sketch binary, core boolean, size long, weight long, most long, width long"
-        placed = stored(large.mapInArrow(_windows(percent), f"{ddl}, near array<int>, home int"))
+        placed = stored(large.mapInArrow(returning_memory(_windows(percent)), f"{ddl}, near array<int>, home int"))
         spread = stored(placed.groupBy("region").agg((F.avg(F.size("near")) <= WINDOWS).alias("divides")).withColumn("key", F.hash("region")))
         placed = join_small(placed.withColumn("key", F.hash("region")), spread, ["key", "region"])
         out = out.unionByName(_blocks(placed.where("not divides")))
@@ -499,18 +499,18 @@ def links(df: DataFrame, summary: DataFrame, common: np.ndarray, words: int, per
     units = _units(cut(members.select("region", "name", "label", "n", "sketch")), percent)
     units = cut(
         units.repartition("unit").sortWithinPartitions("unit")
-        .mapInArrow(_possible(percent), "unit long, name long, label long, core boolean, part long")
+        .mapInArrow(returning_memory(_possible(percent)), "unit long, name long, label long, core boolean, part long")
     )
     packed = _packed_sets(df, known, units.select("name"), words)
     units = units.join(packed, "name").repartition("unit").sortWithinPartitions("unit")
-    return first.unionByName(units.mapInArrow(_joined(percent), "a long, b long").distinct())
+    return first.unionByName(units.mapInArrow(returning_memory(_joined(percent)), "a long, b long").distinct())
 
 
 def _grouped(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, n, label) of rows whose set takes part, and (doc_id, mark, n) of the others."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    found = cut(marked.mapInArrow(_summaries(words, percent), SUMMARY_DDL))
+    found = cut(marked.mapInArrow(returning_memory(_summaries(words, percent)), SUMMARY_DDL))
     common, summary = common_slots(found), found.where("name is not null")
     whole = summary.where("doc_id is not null and n > 0")
     found = components(links(docs.where("doc_id is not null"), whole, common, words, percent))

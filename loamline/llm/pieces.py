@@ -7,9 +7,9 @@ ones, and the pairs around it enter the agenda. Parts of ordinary length are
 merged many at a time, one agenda per row of a matrix; long parts have an agenda
 on a heap. Symbols outside the vocabulary become bytes where the model says so.
 
-In every slice of an Arrow batch the longest text and a share of the others, taken by a
+In every Arrow batch the longest text and a share of the others, taken by a
 hash of the text and whatever their length, are also given to the sentencepiece
-library; where it differs, it encodes the whole slice.
+library; where it differs, it encodes the slice of the batch.
 
 Defined results: a null text is the empty one, which has no ids and decodes to
 the empty text; rows that repeat anything are rows of their own; other columns
@@ -28,12 +28,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import returning_memory
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Parts that a worker remembers, characters of parts that are merged in a matrix; one text in CHECKED is compared with the library.
-CACHED, ROW, CHECKED = 500_000, 48, 24
+CACHED, ROW, CHECKED = 300_000, 48, 64
 NONE = np.iinfo(np.int32).max
 
 
@@ -301,7 +304,7 @@ def _library(path: str) -> Callable[[str], tuple[str, str]]:
 
 
 def _batches(path: str, columns: list[str], build: Callable[[str, str], tuple], types: list[pa.DataType], names: list[str]):
-    """Encode slices of batches; the longest text of a slice and one in CHECKED, by a hash, are compared with the library.
+    """Encode slices of batches; the longest text of a batch and one in CHECKED, by a hash, are compared with the library.
 
     Where one differs, the library encodes the whole slice.
     """
@@ -311,12 +314,12 @@ def _batches(path: str, columns: list[str], build: Callable[[str, str], tuple],
 
         encoder, library = Encoder(path), _library(path)
         for b in batches:
+            longest = int(np.argmax(pc.binary_length(b["text"]).fill_null(0))) if len(b) else -1
             for at, to in slices(b["text"]):
                 part = b.slice(at, to - at)
                 texts = [t or "" for t in part["text"].to_pylist()]
                 made = list(encoder.run(texts))
-                longest = max(range(len(texts)), key=lambda i: len(texts[i]))
-                asked = (i for i, t in enumerate(texts) if i == longest or zlib.crc32(t.encode()) % CHECKED == 0)
+                asked = (i for i, t in enumerate(texts) if at + i == longest or zlib.crc32(t.encode()) % CHECKED == 0)
                 if any(library(texts[i]) != tuple(made[i]) for i in asked):
                     made = [library(t) for t in texts]
                 rows = [build(ids, decoded) for ids, decoded in made]
@@ -331,7 +334,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     build = lambda ids, decoded: ([int(i) for i in ids.split(",")] if ids else [], decoded)
     rows = df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"))
     run = _batches(path, ["doc_id"], build, [pa.list_(pa.int32()), pa.string()], ["ids", "decoded"])
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(returning_memory(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(df: DataFrame, path: str) -> DataFrame:
@@ -340,4 +343,4 @@ def encode_digests(df: DataFrame, path: str) -> DataFrame:
     build = lambda ids, decoded: (ids.count(",") + 1 if ids else 0, sha(ids), sha(decoded))
     rows = df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"))
     run = _batches(path, ["doc_id"], build, [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"])
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(returning_memory(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
