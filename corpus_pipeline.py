@@ -12,27 +12,30 @@ from loamline.llm.queries import piece_model
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it is trained on the labels of the stage's own documents."""
+    """Documents that the classifier does not call toxic; it is trained on the labels of the stage's own documents.
+
+    Rows with a null or empty text are scored like any other; repeated rows all stay or go; an empty table stays empty.
+    """
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, white space aside; null and empty texts are one group."""
     return exact_dedup.dedup(docs)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component at 80 % similarity of five-word shingles."""
+    """One document of each component at 80 % similarity of five-word shingles; texts without words and rows without doc_id stay."""
     return ngram_join.leave_one(docs, words=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, in whole texts."""
+    """Documents as often as the mix of sources takes them, in whole texts; those without words are not taken."""
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and decoded text of each document of the mix."""
+    """doc_id, ids and decoded text of each document of the mix, one row for each copy."""
     return pieces.encode(docs, piece_model())
 
 
