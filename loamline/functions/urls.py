@@ -21,6 +21,12 @@ TWO_LABEL_SUFFIXES = (
     "com.hk com.sg co.in com.mx com.tr co.nz co.za com.es com.it"
 ).split()
 
+# First path parts of github.com that own no repositories.
+NO_OWNERS = (
+    "about apps codespaces collections dashboard explore features issues login marketplace new notifications orgs pricing pulls search security "
+    "settings sponsors topics trending"
+).split()
+
 
 def part(url: Column, k: int) -> Column:
     """Part k (1 scheme to 5 fragment) of an absolute URL; '' where it has none."""
@@ -60,7 +66,7 @@ def _kept_query(url: Column, names: list[str], prefixed: bool) -> Column:
 
 
 def search_key(url: Column) -> Column:
-    """Key under which search rows of one page meet: no tracking, default port, www., closing slash or fragment."""
+    """Key under which search rows of one page meet: no tracking, default port, www., closing slash or fragment; owner and repository in lower case."""
     u = F.when(F.trim(url).startswith("//"), F.concat(F.lit("https:"), F.trim(url))).otherwise(F.trim(url))
     scheme, netloc, path = F.lower(part(u, 1)), F.lower(part(u, 2)), part(u, 3)
     name, port = F.regexp_extract(netloc, r"^([^:]*)", 1), F.regexp_extract(netloc, r":([0-9]+)$", 1)
@@ -68,6 +74,9 @@ def search_key(url: Column) -> Column:
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     address = F.when(netloc.contains("@"), netloc).when((port == "") | default, name).otherwise(F.concat(name, F.lit(":"), port))
     path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
+    repository = F.regexp_extract(path, "^(/*[^/]+/+[^/]+)", 1)
+    owned = (name == "github.com") & ~netloc.contains("@") & (repository != "") & ~F.lower(F.regexp_extract(path, "^/*([^/]+)", 1)).isin(NO_OWNERS)
+    path = F.when(owned, F.concat(F.lower(repository), F.substring(path, F.length(repository) + 1, F.length(path)))).otherwise(path)
     return F.concat(scheme, F.lit("://"), address, path, _kept_query(u, SEARCH_TRACKING, True))
 
 
