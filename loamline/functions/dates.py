@@ -75,7 +75,16 @@ def since_hours(window: Column) -> Column:
 
 def rfc822(text: Column) -> Column:
     """Timestamp of an RFC 822 date; the weekday is not looked at."""
-    return F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    bare = F.regexp_replace(F.trim(text), "^[A-Za-z]{3}, *", "")
+    return F.try_to_timestamp(F.regexp_replace(bare, " (?:GMT|UTC|UT|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
+def iso8601(text: Column) -> Column:
+    """Timestamp of an ISO date or time, UTC where it names no zone; null for others."""
+    shape = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2})(:[0-9]{2}(?:\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+    s = F.trim(text)
+    at = lambda k, other: F.coalesce(F.when(F.regexp_extract(s, shape, k) != "", F.regexp_extract(s, shape, k)), F.lit(other))
+    return F.when(s.rlike(shape), F.concat(at(1, ""), F.lit("T"), at(2, "00:00"), at(3, ":00"), at(4, "Z"))).try_cast("timestamp")
 
 
 def pdf_date(text: Column) -> Column:

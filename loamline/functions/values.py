@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import iso8601
 from .html import unescaped
 from .urls import part
 
@@ -36,9 +37,7 @@ def retry_after(value: Column, now: Column, fallback: Column) -> Column:
 
 def lastmod_epoch(value: Column) -> Column:
     """Seconds of an ISO date or time, taken as UTC where it names no zone; 0 for none or a bad one."""
-    raw = F.trim(F.coalesce(value, F.lit("")))
-    iso = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?(Z|[+-][0-9]{2}:[0-9]{2})?)?$")
-    return F.coalesce(F.when(iso, F.unix_timestamp(raw.try_cast("timestamp"))), F.lit(0)).cast("double")
+    return F.coalesce(F.unix_timestamp(iso8601(value)), F.lit(0)).cast("double")
 
 
 def epoch_day(value: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamline.functions import urls, walls
-from loamline.operators import suggest
+from loamline.operators import agreement, suggest
 from loamline.plans.tables import Pack, read
-from loamline.sources import verticals
+from loamline.sources import feeds, verticals
 
 PACK = Pack()
 
@@ -249,3 +249,80 @@ def url_repository_keys(spark, sf_dir):
         .when(k == 4, F.concat(F.lit("https://gist.github.com/Owner/Repo"), n)).otherwise(F.concat(F.lit("https://github.com//Owner//Repo?q=A"), n))
     )
     return read(spark, sf_dir, "pages").select("page_id", urls.search_key(url).alias("url_key"))
+
+
+# -- feeds of other kinds, sitemap indexes, where a feed may be, families of engines
+
+
+@PACK.query(
+    r"""WITH t AS (SELECT doc_id, 'x' || regexp_replace(text, '[^A-Za-z0-9 .,]+', ' ', 'g') AS said FROM documents)
+    SELECT doc_id, 1 AS place, 'new' AS title, 'https://f.example/' || doc_id AS link, '2024-05-01 22:30' AS published, substr(said, 1, 500) AS summary FROM (SELECT doc_id, rtrim(said) AS said FROM t) WHERE doc_id % 3 < 2
+    UNION ALL SELECT doc_id, 2, 'old', CASE doc_id % 3 WHEN 0 THEN '' ELSE 'https://f.example/o' END, '2001-01-01 00:00', 's' FROM documents WHERE doc_id % 3 < 2
+    UNION ALL SELECT doc_id, 3, 'undated', CASE doc_id % 3 WHEN 0 THEN '' ELSE 'https://f.example/u' END, NULL, NULL FROM documents WHERE doc_id % 3 < 2"""
+)
+def feed_entries(spark, sf_dir):
+    """Items of Atom and RDF feeds, and none of broken ones."""
+    said, k = F.regexp_replace("text", "[^A-Za-z0-9 .,]+", " "), F.col("doc_id") % 3
+    atom = F.concat(
+        F.lit("<a:feed xmlns:a='http://www.w3.org/2005/Atom'><a:title>T</a:title><a:entry><a:title>undated</a:title></a:entry><a:entry><a:title type='text'>old</a:title><a:summary>s</a:summary><a:updated>2001-01-01</a:updated></a:entry>"),
+        F.lit("<a:entry><a:title>new</a:title><a:link href='https://f.example/first'/><a:link rel='alternate' href='https://f.example/"), _id(), F.lit("'/><a:content>x"), said,
+        F.lit("</a:content><a:published>2024-05-01T23:30:00+01:00</a:published><a:updated>2025-01-01T00:00:00Z</a:updated></a:entry></a:feed>"),
+    )
+    rdf = F.concat(
+        F.lit("<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:dc='http://purl.org/dc/elements/1.1/'><channel rdf:about='x'><title>T</title></channel><item><title>undated</title><link>https://f.example/u</link></item>"),
+        F.lit("<item rdf:about='n'><title>new</title><link>https://f.example/"), _id(), F.lit("</link><description>x"), said, F.lit("</description><dc:date>2024-05-01T22:30Z</dc:date></item>"),
+        F.lit("<item><title>old</title><link>https://f.example/o</link><description>s</description><dc:date>Mon, 01 Jan 2001 00:00:00 GMT</dc:date></item></rdf:RDF>"),
+    )
+    body = F.when(k == 0, atom).when(k == 1, rdf).otherwise(F.concat(F.lit("<feed><entry>"), said))
+    items = feeds.feed_items(docs(spark, sf_dir).select("doc_id", body.alias("body")), "doc_id", "body")
+    return items.select("doc_id", "place", "title", F.coalesce("link", F.lit("")).alias("link"), F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"), "summary")
+
+
+@PACK.query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id % 3 + 1 ELSE 0 END AS n_items, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' ELSE 'error' END AS outcome FROM documents")
+def feed_outcomes(spark, sf_dir):
+    """Every source keeps its row: with items, without, broken, without a body."""
+    k = F.col("doc_id") % 4
+    items = F.repeat(F.lit("<item><title>x</title></item>"), (F.col("doc_id") % 3 + 1).cast("int"))
+    body = F.when(k == 0, F.concat(F.lit("<rss><channel>"), items, F.lit("</channel></rss>"))).when(k == 1, "<rss><channel><title>T</title></channel></rss>").when(k == 2, "<rss><channel><item>")
+    return feeds.feed_report(docs(spark, sf_dir).select("doc_id", body.alias("body")), "doc_id", "body")
+
+
+@PACK.query(
+    "SELECT page_id, place::INTEGER AS place, 'https://m.example/' || page_id || '/' || place || '.xml' AS loc FROM (SELECT page_id, unnest(range(0, page_id % 4 + 1)) AS place FROM pages WHERE page_id % 3 > 0)"
+)
+def sitemap_indexes(spark, sf_dir):
+    """The sitemaps that an index names; a list of pages names none."""
+    entry = lambda i: F.concat(F.lit("<s:sitemap><s:loc> https://m.example/"), F.col("page_id").cast("string"), F.lit("/"), i.cast("string"), F.lit(".xml </s:loc><s:lastmod>2024-01-01</s:lastmod></s:sitemap>"))
+    entries = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int")), entry), "")
+    index = F.concat(F.lit("<?xml version='1.0'?><s:sitemapindex xmlns:s='http://www.sitemaps.org/schemas/sitemap/0.9'>"), entries, F.lit("</s:sitemapindex>"))
+    body = F.when(F.col("page_id") % 3 == 0, "<urlset><url><loc>https://m.example/</loc></url></urlset>").otherwise(index)
+    return feeds.sitemap_children(read(spark, sf_dir, "pages").select("page_id", body.alias("body")), "page_id", "body")
+
+
+@PACK.query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://a.example/x/own.xml https://cdn.example/b https://a.example/news/rss' WHEN 1 THEN 'https://a.example/feed https://a.example/rss.xml https://a.example/atom.xml'
+      WHEN 2 THEN 'https://a.example/news/rss https://a.example/n?k=1' ELSE 'https://a.example/news/rss https://a.example/feed https://a.example/rss.xml' END AS probes FROM pages"""
+)
+def feed_probes(spark, sf_dir):
+    """Where a page's feed may be: declared, named or usual, in marks planted before the whole page."""
+    k = F.col("page_id") % 4
+    declared = '<LINK href="own.xml" type="application/atom+xml" rel="alternate"><link rel=alternate type=application/rss+xml href="//cdn.example/b"><link rel="alternate" type="text/html" href="/no"><link rel="alternate" type="application/rss+xml" href="own.xml">'
+    named = '<a href="https://b.example/feed">feed</a><a href="/news/rss">N</a><a href="#feed">feed</a>'
+    html = F.when(k == 0, declared + named).when(k == 1, "<a href='/feedback'>feeds</a>").when(k == 2, named + '<a class=x href="/n?k=1"><b>Atom</b></a><a href="/third/feed">x</a>').otherwise(named)
+    url = F.when(k.isin(0, 2), "https://a.example/x/y.html").otherwise("https://a.example/")
+    found = feeds.feed_probes(F.concat(html, F.regexp_replace("html", "(?i)rss|atom|feed", "")), url)
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(found, " ").alias("probes"))
+
+
+@PACK.query(
+    """WITH e AS (SELECT user_id, event_type AS f, event_id % 5 > 0 AS told, event_id % 4 = 0 AS ok, event_id % 37 = 0 AS blocked, event_id % 3 > 0 AS late FROM events),
+    f AS (SELECT user_id, f, count(*) FILTER (told) > 0 AND count(*) FILTER (told AND NOT late) = 0 AS silenced, count(*) FILTER (told AND ok) > 0 AS spoke, count(*) FILTER (told AND blocked) > 0 AS refused FROM e GROUP BY ALL),
+    c AS (SELECT user_id, count(*) AS asked, count(*) FILTER (NOT silenced) AS could, count(*) FILTER (NOT silenced AND spoke) AS answered, count(*) FILTER (refused) AS refused FROM f GROUP BY ALL)
+    SELECT user_id, asked, could, answered, CASE WHEN refused > 0 THEN 'degraded_pool' WHEN answered <= 1 THEN 'single_family' WHEN could < asked THEN 'partial_pool' ELSE 'full' END AS basis FROM c"""
+)
+def family_tallies(spark, sf_dir):
+    """Families asked, able to speak and heard, here the kinds of a user's events."""
+    k = F.col("event_id")
+    told = lambda c: F.when(k % 5 > 0, c)
+    rows = read(spark, sf_dir, "events").select("user_id", "event_type", told(k % 4 == 0).alias("ok"), told(k % 37 == 0).alias("blocked"), told(k % 3 > 0).alias("preempted"))
+    return agreement.family_tally(rows, "user_id", "event_type", "ok", "blocked", "preempted")

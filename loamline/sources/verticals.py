@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamline.functions.dates import iso8601
 from loamline.functions.values import epoch_day, plain
 
 #: Longest snippet of a row.
@@ -30,9 +31,7 @@ def _count(value: Column, what: str) -> Column:
 
 def _iso_day(value: Column) -> Column:
     """The day, in UTC, of an ISO date or time; '' for none or a bad one."""
-    raw = F.trim(F.coalesce(value, F.lit("")))
-    iso = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$")
-    return F.coalesce(F.when(iso, F.date_format(raw.try_cast("timestamp"), "yyyy-MM-dd")), F.lit(""))
+    return F.coalesce(F.date_format(iso8601(value), "yyyy-MM-dd"), F.lit(""))
 
 
 def _packed_day(value: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamline.functions import urls, walls
-from loamline.operators import suggest
-from loamline.sources import verticals
+from loamline.functions import dates, urls, walls
+from loamline.operators import agreement, suggest
+from loamline.sources import feeds, verticals
 
 
 def test_answers_without_rows(spark):
@@ -83,3 +83,35 @@ def test_spellings_of_a_repository_meet(spark):
     others = ["https://github.com/topics/Spark", "https://github.com/topics/spark", "https://user@github.com/Owner/Repo", "https://github.com/Owner"]
     keys = [r[0] for r in spark.createDataFrame([(u,) for u in spellings + others], "u string").select(urls.search_key(F.col("u"))).collect()]
     assert len(set(keys[:3])) == 1 and len(set(keys)) == 1 + len(others)
+
+
+def test_times_of_feeds(spark):
+    cases = {
+        "2024-05-01": "2024-05-01 00:00:00", " 2024-05-01T22:30Z": "2024-05-01 22:30:00", "2024-05-01T22:30:15.25-01:00": "2024-05-01 23:30:15", "2024-05-01 22:30": "2024-05-01 22:30:00",
+        "2024-13-01": None, "2024-05-01T": None, "soon": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "v string").select(F.date_format(dates.iso8601(F.col("v")), "yyyy-MM-dd HH:mm:ss"))
+    assert [r[0] for r in df.collect()] == list(cases.values())
+    mail = spark.createDataFrame([("Tue, 05 Aug 2026 12:00:00 GMT",), ("5 Aug 2026 12:00:00 +0200",), ("Tue",)], "v string").select(F.date_format(dates.rfc822(F.col("v")), "yyyy-MM-dd HH"))
+    assert [r[0] for r in mail.collect()] == ["2026-08-05 12", "2026-08-05 10", None]
+
+
+def test_feed_bodies_of_every_kind(spark):
+    bodies = [
+        (1, None), (2, ""), (3, "<rss"), (4, "<rss><channel><title>T</title></channel></rss>"), (5, "<rss><channel><item><title>only</title></item></channel></rss>"),
+        (6, "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>a</title><link href='https://a.example'/></entry></feed>"),
+    ]
+    df = spark.createDataFrame(bodies, "id int, body string")
+    assert {r.id: (r.outcome, r.n_items) for r in feeds.feed_report(df, "id", "body").collect()} == {
+        1: ("error", 0), 2: ("error", 0), 3: ("error", 0), 4: ("empty", 0), 5: ("ok", 1), 6: ("ok", 1)
+    }
+    assert {(r.id, r.title, r.link) for r in feeds.feed_items(df, "id", "body").collect()} == {(5, "only", None), (6, "a", "https://a.example")}
+    assert feeds.feed_report(df.limit(0), "id", "body").count() == 0
+
+
+def test_families_without_reports_could_speak(spark):
+    rows = [("a", "f", True, False, False), ("a", "g", None, None, None), ("b", "f", False, False, True), ("b", "f", False, False, True), ("b", "g", True, False, False), ("b", "h", True, False, False),
+            ("c", "f", False, True, False), ("d", "f", True, False, False), ("d", "g", True, False, False)]
+    df = spark.createDataFrame(rows, "k string, family string, ok boolean, blocked boolean, late boolean")
+    got = {r.k: tuple(r)[1:] for r in agreement.family_tally(df, "k", "family", "ok", "blocked", "late").collect()}
+    assert got == {"a": (2, 2, 1, "single_family"), "b": (3, 2, 2, "partial_pool"), "c": (1, 1, 0, "degraded_pool"), "d": (2, 2, 2, "full")}
