@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamline.functions import urls, walls
 from loamline.operators import agreement, suggest
 from loamline.plans.tables import Pack, read
-from loamline.sources import feeds, verticals
+from loamline.sources import feeds, islands, verticals
 
 PACK = Pack()
 
@@ -326,3 +326,32 @@ def family_tallies(spark, sf_dir):
     told = lambda c: F.when(k % 5 > 0, c)
     rows = read(spark, sf_dir, "events").select("user_id", "event_type", told(k % 4 == 0).alias("ok"), told(k % 37 == 0).alias("blocked"), told(k % 3 > 0).alias("preempted"))
     return agreement.family_tally(rows, "user_id", "event_type", "ok", "blocked", "preempted")
+
+
+# -- JSON in pages: planted before the page's own html
+
+
+@PACK.query(
+    """SELECT page_id, place::INTEGER AS place, CASE place WHEN 0 THEN 'Article' WHEN 1 THEN 'A' ELSE 'B' END AS kind, CASE place WHEN 0 THEN url END AS address FROM pages, (SELECT unnest([0, 1, 2]) AS place) WHERE page_id % 3 = 0 OR (page_id % 3 = 1 AND place = 0)"""
+)
+def page_linked_data(spark, sf_dir):
+    """Items of linked data: one object, a graph and a list; after a broken block nothing."""
+    k, script = F.col("page_id") % 3, lambda x: F.concat(F.lit("<script data-x='1' type='application/ld+json'>\n"), x, F.lit("</script>"))
+    first = script(F.to_json(F.struct(F.lit("Article").alias("@type"), F.col("url"))))
+    graph, listed, bad = script(F.lit('{"@graph": [{"@type": "A"}]}')), script(F.lit('[{"@type":"B"}]')), script(F.lit("{broken"))
+    html = F.when(k == 0, F.concat(first, graph, script(F.lit(" ")), listed)).when(k == 1, F.concat(first, bad, listed)).otherwise("<script type='text/javascript'>{}</script>")
+    rows = read(spark, sf_dir, "pages").select("page_id", F.posexplode(islands.linked_items(F.concat(html, F.regexp_replace("html", "ld.json", "")))).alias("place", "item"))
+    return rows.select("page_id", "place", F.get_json_object("item", "$['@type']").alias("kind"), F.get_json_object("item", "$.url").alias("address"))
+
+
+@PACK.query(
+    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\x00-\x20<>\x7F-\x{10FFFF}]+', ' ', 'g')) AS said FROM documents WHERE doc_id % 5 > 0)
+    SELECT doc_id, 0::INTEGER AS place, said AS text FROM t WHERE length(said) >= 120 UNION ALL SELECT doc_id, CASE WHEN length(said) >= 120 THEN 1 ELSE 0 END::INTEGER, repeat('y', 120) FROM t"""
+)
+def page_island_texts(spark, sf_dir):
+    """Long strings of the states of pages made of documents, each once; settings, short strings and broken states give none."""
+    said = F.regexp_replace("text", r"[\x00-\x20<>\x7F-\x{10FFFF}]+", " ")
+    long = F.repeat(F.lit("y"), 120)
+    state = F.to_json(F.struct(F.struct(long.alias("x")).alias("themeConfig"), F.array(F.struct(said.alias("body")), F.struct(F.concat(F.lit(" "), said).alias("body"))).alias("posts"), F.struct(F.lit("short").alias("a"), long.alias("b")).alias("z")))
+    html = F.concat(F.when(F.col("doc_id") % 2 == 0, "<p>x</p><script type='application/json'>").otherwise('<SCRIPT id="__NEXT_DATA__">'), F.when(F.col("doc_id") % 5 == 0, "{").otherwise(""), state, F.lit("</script>"))
+    return islands.island_texts(docs(spark, sf_dir).select("doc_id", html.alias("html")), "doc_id", "html")

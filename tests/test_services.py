@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import dates, urls, walls
 from loamline.operators import agreement, suggest
-from loamline.sources import feeds, verticals
+from loamline.sources import feeds, islands, verticals
 
 
 def test_answers_without_rows(spark):
@@ -115,3 +115,15 @@ def test_families_without_reports_could_speak(spark):
     df = spark.createDataFrame(rows, "k string, family string, ok boolean, blocked boolean, late boolean")
     got = {r.k: tuple(r)[1:] for r in agreement.family_tally(df, "k", "family", "ok", "blocked", "late").collect()}
     assert got == {"a": (2, 2, 1, "single_family"), "b": (3, 2, 2, "partial_pool"), "c": (1, 1, 0, "degraded_pool"), "d": (2, 2, 2, "full")}
+
+
+def test_states_of_pages(spark):
+    a, b = "a" * 120, "b" * 130
+    pages = [
+        (1, None), (2, ""), (3, f'<script type="application/json">{{"k": ["{a}", "{a}"], "cookieText": "{b}", "n": 1, "s": "short"}}</script>'), (4, f'<script>{{"k": "{a}"}}</script>'),
+        (5, f'<script type="application/json">{{"k": "{a}"</script><script id="__NEXT_DATA__">["{b}", {{"deep": " {a} "}}]</script>'), (6, '<script type="application/json">' + "[" * 30 + f'"{a}"' + "]" * 30 + "</script>"),
+    ]
+    df = spark.createDataFrame(pages, "id int, html string")
+    assert sorted(tuple(r) for r in islands.island_texts(df, "id", "html").collect()) == [(3, 0, a), (5, 0, b), (5, 1, a)]
+    assert islands.island_texts(df.limit(0), "id", "html").count() == 0
+    assert [r[0] for r in df.orderBy("id").select(F.size(islands.linked_items(F.coalesce("html", F.lit(""))))).collect()] == [0] * 6
