@@ -304,7 +304,7 @@ def sitemap_indexes(spark, sf_dir):
       WHEN 2 THEN 'https://a.example/news/rss https://a.example/n?k=1' ELSE 'https://a.example/news/rss https://a.example/feed https://a.example/rss.xml' END AS probes FROM pages"""
 )
 def feed_probes(spark, sf_dir):
-    """Where a page's feed may be: declared, named or usual, in marks planted before the whole page."""
+    """Where a page's feed may be: declared, named or usual, in marks planted before the whole page, whose own words for feeds are taken out."""
     k = F.col("page_id") % 4
     declared = '<LINK href="own.xml" type="application/atom+xml" rel="alternate"><link rel=alternate type=application/rss+xml href="//cdn.example/b"><link rel="alternate" type="text/html" href="/no"><link rel="alternate" type="application/rss+xml" href="own.xml">'
     named = '<a href="https://b.example/feed">feed</a><a href="/news/rss">N</a><a href="#feed">feed</a>'
@@ -335,7 +335,7 @@ def family_tallies(spark, sf_dir):
     """SELECT page_id, place::INTEGER AS place, CASE place WHEN 0 THEN 'Article' WHEN 1 THEN 'A' ELSE 'B' END AS kind, CASE place WHEN 0 THEN url END AS address FROM pages, (SELECT unnest([0, 1, 2]) AS place) WHERE page_id % 3 = 0 OR (page_id % 3 = 1 AND place = 0)"""
 )
 def page_linked_data(spark, sf_dir):
-    """Items of linked data: one object, a graph and a list; after a broken block nothing."""
+    """Items of linked data planted before the page, whose own type marks are taken out: one object, a graph and a list; after a broken block nothing."""
     k, script = F.col("page_id") % 3, lambda x: F.concat(F.lit("<script data-x='1' type='application/ld+json'>\n"), x, F.lit("</script>"))
     first = script(F.to_json(F.struct(F.lit("Article").alias("@type"), F.col("url"))))
     graph, listed, bad = script(F.lit('{"@graph": [{"@type": "A"}]}')), script(F.lit('[{"@type":"B"}]')), script(F.lit("{broken"))
