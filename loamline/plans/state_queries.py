@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -131,7 +129,8 @@ def route_memory(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamline-stream-")
+    """Where streams keep state and output: a folder that driver and executors share."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
 
 
 def _stream(spark, sf_dir):
@@ -166,4 +165,4 @@ def streaming_running_means(spark, sf_dir):
 @PACK.query()
 def streaming_sessions(spark, sf_dir):
     """Sessions of users with gaps of 30 minutes, from a stream."""
-    return polls.run_available(polls.sessions(_stream(spark, sf_dir)), _folder(spark), "append")
+    return polls.run_available(polls.sessions(_stream(spark, sf_dir), late=None), _folder(spark), "complete")
