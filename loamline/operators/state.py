@@ -67,17 +67,48 @@ def upsert(table: DataFrame, rows: DataFrame, key: str, at: str) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(at).desc()))).where("__n = 1").drop("__n")
 
 
+def nth_smallest(table: DataFrame, at: str, rank: int, few: int = 100_000):
+    """The exact value at a rank (from 1) of a column's values in order, nulls last; None where a null stands there.
+
+    Approximate percentiles only propose borders; rows are counted against them, and what
+    lies between is narrowed until it is few rows or does not shrink, then counted by value.
+    """
+    left, before = table.select(at).where(F.col(at).isNotNull()), 0
+    n = left.count()
+    while n > few and rank <= before + n:
+        share = (rank - before) / n
+        p = left.agg(F.percentile_approx(at, [max(share - 3e-4, 0.0), min(share + 3e-4, 1.0)], 10_000).alias("p")).first()["p"]
+        c = [F.col(at) < p[0], F.col(at) <= p[0], F.col(at) < p[1], F.col(at) <= p[1]]
+        below = left.agg(*[F.count_if(x).alias(f"c{k}") for k, x in enumerate(c)]).first()
+        place, size = rank - before, n
+        for k, v in ((0, p[0]), (2, p[1])):
+            if below[k] < place <= below[k + 1]:
+                return v
+        if place <= below[0]:
+            left, n = left.where(c[0]), below[0]
+        elif place <= below[2]:
+            left, n, before = left.where(~c[1] & c[2]), below[2] - below[1], before + below[1]
+        else:
+            left, n, before = left.where(~c[3]), n - below[3], before + below[3]
+        if n == size:  # whole numbers beyond 2^53 that percentiles do not tell apart
+            break
+    if rank > before + n:
+        return None
+    upto = F.sum("count").over(Window.orderBy(at))
+    return left.groupBy(at).count().withColumn("upto", upto + before).where(F.col("upto") >= rank).agg(F.min(at)).first()[0]
+
+
 def evict(table: DataFrame, at: str, cap: int) -> DataFrame:
-    """Over the cap, only the newest nine tenths of it stay.
+    """Over the cap, only the newest nine tenths of it stay; rows of the border's time go, nulls count as newest and go too.
 
-    The border is found by the order statistic of the times, not by numbering all rows in one task.
+    The border is found by its exact rank, not by numbering all rows in one task.
     """
     n = table.count()
     if n <= cap:
         return table
-    share = 1 - int(cap * 0.9) / n
-    border = table.agg(F.percentile_approx(at, share, 1_000_000).alias("t")).first()["t"]
-    return table.where(F.col(at) > border)
+    border = nth_smallest(table, at, n - cap * 9 // 10)
+    # a rank among the nulls: nothing is newer
+    return table.where(F.col(at) > border) if border is not None else table.where(F.lit(False))
 
 
 def alive(at: Column, ttl: Column, asked: int, now: Column) -> Column:
