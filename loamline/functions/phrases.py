@@ -84,6 +84,11 @@ def redacted(text: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return (
-        F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / 1024.0**2))
+    """Bytes in B, KB or MB; exact ties of the decimal go to the even digit, as C prints them. Null where there is none."""
+
+    def tenths(unit: int) -> Column:
+        return F.bround(n / float(unit), 1)
+
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%.1f KB", tenths(1024))).when(
+        n.isNotNull(), F.format_string("%.1f MB", tenths(1024**2))
     )

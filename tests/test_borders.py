@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from loamline.functions import phrases
 from loamline.operators import state
 
 
@@ -26,3 +27,13 @@ def test_eviction_with_nulls_and_ties(spark):
     rows = spark.createDataFrame([(None,), (1,), (2,), (3,), (3,), (4,), (5,), (6,), (7,), (8,), (9,)], "t int")
     assert sorted(r["t"] for r in state.evict(rows, "t", 5).collect()) == [7, 8, 9]
     assert state.evict(spark.createDataFrame([(None,), (None,)], "t int"), "t", 1).count() == 0
+
+
+def test_sizes_are_printed_as_c_does(spark, duck):
+    """All lengths to 3 MB by steps that meet every tie of KB, and null."""
+    rows = spark.range(-1, 3 * 2**14).select(F.expr("if(id < 0, null, id * 64)").alias("n"))
+    got = rows.select("n", phrases.human_size(F.col("n")).alias("s")).toArrow()
+    duck.register("sizes", got)
+    size = "CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END"
+    assert duck.execute(f"SELECT n, s, {size} FROM sizes WHERE s IS DISTINCT FROM {size}").fetchall() == []
+    assert got.num_rows == 3 * 2**14 + 1
