@@ -157,8 +157,10 @@ def streaming_new_items(spark, sf_dir):
     SELECT event_type, max(i) AS n, round(arg_max(mean, i), 6)::DOUBLE AS mean FROM r GROUP BY event_type"""
 )
 def streaming_running_means(spark, sf_dir):
-    """The running means of ``ewma_engine_health``, from state that a stream keeps."""
-    out = polls.run_available(polls.running_means(_stream(spark, sf_dir)), _folder(spark), "update")
+    """The running means of ``ewma_engine_health``, from state that streams keep."""
+    kinds = polls.run_available(polls.kinds(_stream(spark, sf_dir)), _folder(spark), "complete")
+    newest = polls.run_available(polls.newest_values(_stream(spark, sf_dir), kinds), _folder(spark), "update")
+    out = polls.running_means(kinds, newest)
     return out.select("event_type", "n", F.round("mean", 6).alias("mean"))
 
 
