@@ -13,13 +13,15 @@ the text at that place is taken as a whole, without the parts that are
 navigation, adverts, notices, forms, comments and the like, and, outside an
 article element, without the template's own texts.
 
-A wrapper is inferred from ``SAMPLE`` pages of a host (the least by a hash of
-their ids); every page is extracted. A page that does not fit its wrapper, or a
-host without one, is extracted by a wrapper of the page alone.
+A wrapper is inferred from all pages of a host: each task aligns those it reads,
+and the tasks' wrappers of a host are aligned with each other, level by level.
+Every page is extracted. A page that does not fit its wrapper, or a host
+without one, is extracted by a wrapper of the page alone.
 
 Defined results: a null or empty html gives an empty text; a null url or one
 without host belongs to the host ''; repeated rows are extracted like others;
-other columns are ignored. Memory is bounded by the longest pages of a sample.
+other columns are ignored. A task holds the wrappers of ``HELD`` hosts at most,
+and aligns about ``FEW`` wrappers of a host at a time.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_small
 
-SAMPLE = 6
+#: Hosts whose wrappers a task holds before it passes them on, and wrappers of a host that one task aligns.
+HELD, FEW = 500, 32
 #: The share of an element's slot text that a part must hold to be the place of the main text.
 MOST = 0.7
 #: Children that are aligned one by one, and lengths of groups that repeat.
@@ -160,12 +164,20 @@ class Part:
     chars: int = 0  # of texts
     parts: list[Part] = field(default_factory=list)
 
+    def plain(self) -> list:
+        """Lists and values, for JSON."""
+        return [self.key, self.optional, self.repeated, self.aside, self.main, self.tag, self.text, self.chars, [p.plain() for p in self.parts]]
+
+    @classmethod
+    def of(cls, plain: list) -> Part:
+        return cls(*plain[:-1], [cls.of(p) for p in plain[-1]])
+
     def expression(self) -> str:
         """The wrapper as a regular expression over tags, constants and #slots."""
         if self.key == "#":
             body = "#slot" if self.text is None else json.dumps(self.text[:40], ensure_ascii=False)
         else:
-            inner = " ".join(p.expression() for p in self.parts)
+            inner = " ".join([p.expression() for p in self.parts])
             body = f"({inner})" if self.key == "()" else f"<{self.key}>{inner}</{self.tag}>"
         return f"({body})" + ("*" if self.optional else "+") if self.repeated else f"({body})?" if self.optional else body
 
@@ -260,7 +272,7 @@ def _weights(part: Part, n: int, sizes: dict[int, int], linked: bool = False, op
     elif part.key == "#":
         total = 0 if linked or (n > 1 and part.text is not None and not (optional and single)) else part.chars
     else:
-        total = sum(_weights(p, n, sizes, linked or part.tag == "a", optional, single) for p in part.parts)
+        total = sum([_weights(p, n, sizes, linked or part.tag == "a", optional, single) for p in part.parts])
     sizes[id(part)] = total
     return total
 
@@ -377,31 +389,65 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _infer_host(pages: pa.Table) -> pa.Table:
-    rows = sorted(zip(pages["page_id"].to_pylist(), pages["html"].to_pylist(), strict=True), key=lambda r: r[0])
-    texts = [h for _, h in rows if h]
-    found: list[tuple[str, str, str]] = []
-    if texts:
-        wrapper = infer(texts)
-        place = locate(wrapper, len(texts))
-        found = [(pages["host"][0].as_py(), json.dumps([place.path, place.template]), wrapper.expression())]
-    return pa.table({n: pa.array([f[k] for f in found], pa.string()) for k, n in enumerate(("host", "place", "expression"))})
+WRAPPERS = pa.schema([("host", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("wrapper", pa.string())])
+
+
+def _of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrappers of the pages of a task, by host, numbered by task and place."""
+    held: dict[str, list] = {}
+    at = TaskContext.get().partitionId() << 32
+
+    def passed() -> pa.RecordBatch:
+        nonlocal at
+        rows = [{"host": h, "at": at + k, "n": n, "wrapper": json.dumps(w.plain())} for k, (h, (n, w)) in enumerate(held.items())]
+        at += len(rows)
+        held.clear()
+        return pa.RecordBatch.from_pylist(rows, WRAPPERS)
+
+    for b in batches:
+        for name, page in zip(b["host"], b["html"], strict=True):
+            folded, name = fold(parse(page.as_py())), name.as_py()
+            n, wrapper = held.get(name, (0, None))
+            held[name] = [n + 1, folded if wrapper is None else align(wrapper, folded)]
+            if len(held) >= HELD:
+                yield passed()
+    yield passed()
+
+
+def _aligned(rows: pa.Table) -> pa.Table:
+    """One wrapper for the wrappers of a host, in the order of their numbers."""
+    rows = rows.sort_by("at")
+    wrapper = None
+    for w in rows["wrapper"]:
+        part = Part.of(json.loads(w.as_py()))
+        wrapper = part if wrapper is None else align(wrapper, part)
+    row = {"host": rows["host"][0].as_py(), "at": rows["at"][0].as_py(), "n": sum(rows["n"].to_pylist()), "wrapper": json.dumps(wrapper.plain())}
+    return pa.Table.from_pylist([row], WRAPPERS)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        places, expressions = [], []
+        for n, w in zip(b["n"], b["wrapper"], strict=True):
+            wrapper = Part.of(json.loads(w.as_py()))
+            place = locate(wrapper, n.as_py())
+            places.append(json.dumps([place.path, place.template]))
+            expressions.append(wrapper.expression())
+        yield pa.RecordBatch.from_arrays([b["host"], pa.array(places, pa.string()), pa.array(expressions, pa.string())], ["host", "place", "expression"])
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host, place, expression: the wrapper of every host, from SAMPLE pages at most."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"))
-    spot = F.xxhash64("page_id")
-    # the least page of each of SAMPLE buckets: partial minima, whatever the size of a host
-    ids = (
-        rows.where("page_id is not null").groupBy("host", F.pmod(spot, F.lit(SAMPLE)).alias("bucket"))
-        .agg(F.min(F.struct(spot.alias("spot"), "page_id")).alias("least")).select(F.col("least.page_id").alias("page_id"))
-    )
-    ids = cut(ids.distinct())
-    sample = join_small(
-        pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html")), ids, ["page_id"]
-    ).withColumn("host", host(F.col("url"))).dropDuplicates(["host", "page_id"]).select("host", "page_id", "html")
-    return sample.groupBy("host").applyInArrow(_infer_host, "host string, place string, expression string")
+    """host, place, expression: the wrapper of every host, from all its pages."""
+    columns = "host string, at long, n long, wrapper string"
+    rows = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html <> ''")
+    found = cut(rows.mapInArrow(_of_task, columns))
+    while True:
+        most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        groups = ["host"] if most <= 2 * FEW else ["host", F.pmod(F.xxhash64("at"), F.lit(most // FEW))]
+        found = found.groupBy(*groups).applyInArrow((lambda _, t: _aligned(t)) if len(groups) > 1 else _aligned, columns)
+        if most <= 2 * FEW:
+            return found.mapInArrow(_placed, "host string, place string, expression string")
+        found = cut(found)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

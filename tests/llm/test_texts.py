@@ -188,6 +188,17 @@ def test_sections_of_an_article_stay_whatever_their_names_share(spark):
     assert {r["page_id"]: r["text"] for r in wrappers.extract_pages(clash).collect()} == got
 
 
+@pytest.mark.parametrize("few", [32, 2])
+def test_all_pages_of_a_host_tell_what_is_template(spark, monkeypatch, few):
+    """One page of sixty lacks a line, so that it is no template's; sixty tasks, wrappers aligned in one level or in several."""
+    monkeypatch.setattr(wrappers, "FEW", few)
+    html = [f"<body><div class=menu>Home</div><div class=body><p>Text {n} {f'word{n} ' * 30}</p><h3>Always</h3>{'<h2>Mostly</h2>' * (n != 41)}</div></body>" for n in range(60)]
+    df = spark.createDataFrame([(n, f"https://a.example/{n}", h) for n, h in enumerate(html)], "page_id long, url string, html string").repartition(60, "page_id")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(df).collect()}
+    for n in range(60):
+        assert got[n].startswith(f"Text {n} ") and "Always" not in got[n] and got[n].endswith("Mostly") == (n != 41)
+
+
 def test_wrappers_are_union_free_expressions():
     wrapper = wrappers.infer([page(1), page(2, "<p>x</p><table><tr><td>1</td></tr></table>"), page(0)])
     text = wrapper.expression()
